@@ -72,12 +72,13 @@ def number(c: Column) -> Column:
 
     Exponents are read through DECIMAL(38,10). Infinite values, booleans and other text are unreadable (NULL here).
     """
-    return F.when(c.rlike(_EXPONENT), _exponent(c)).otherwise(_plain_number(F.regexp_replace(present(c), r"(?<=\d)_(?=\d)", "")))
+    return F.when(c.rlike("^[1-9][0-9]*$"), c).when(c.rlike(_EXPONENT), _exponent(c)).otherwise(_plain_number(F.regexp_replace(present(c), r"(?<=\d)_(?=\d)", "")))
 
 
 def code(c: Column) -> Column:
     """Identifier: integers lose leading zeros and a zero fraction, anything else is cleaned text in its own case."""
-    return F.when(c.rlike(_EXPONENT), F.coalesce(_found(_exponent(c), r"^(-?\d+)$"), present(c))).otherwise(_integer(clean_text(present(c))))
+    rare = F.when(c.rlike(_EXPONENT), F.coalesce(_found(_exponent(c), r"^(-?\d+)$"), present(c))).otherwise(_integer(clean_text(present(c))))
+    return F.when(c.rlike("^[1-9][0-9]*$"), c).otherwise(rare)
 
 
 def boolean(c: Column) -> Column:
@@ -93,7 +94,8 @@ def date(c: Column) -> Column:
     s = F.regexp_replace(present(c), _ISO, "$1-$2-$3")
     s = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})Z?$", "$1-$2-$3")
     s = F.regexp_replace(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})Z?$", "$3-$2-$1")
-    return F.try_to_date(s, "yyyy-M-d")
+    rare = _found(s, r"^(\d{4}-\d{1,2}-\d{1,2})$").try_cast("date")  # a cast, since failed parses would cost an exception each
+    return F.when(c.rlike(r"^\d{4}-\d\d-\d\d([T ]00:00:00(\.0+)?Z?)?$"), F.substring(c, 1, 10).try_cast("date")).otherwise(rare)
 
 
 def _serial(c: Column, pattern: str) -> Column:
@@ -108,7 +110,7 @@ def serial_date(c: Column) -> Column:
 
 def effective_date(c: Column) -> Column:
     """Digits only (or with a zero fraction): a day number; anything else: a date."""
-    return F.coalesce(_serial(c, r"^(\d{1,9})(?:\.0+)?$"), date(c))
+    return F.when(c.rlike("^[1-9][0-9]{0,5}$"), F.date_add(F.lit(SERIAL_EPOCH).cast("date"), c.try_cast("int"))).otherwise(F.coalesce(_serial(c, r"^(\d{1,9})(?:\.0+)?$"), date(c)))
 
 
 # The 27 characters that Windows-1252 holds in 0x80-0x9F, with their bytes.
