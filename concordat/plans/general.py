@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.functions import kinds as K
-from concordat.operators import asof, bitemporal
+from concordat.operators import asof, bitemporal, setrec
 from concordat.session import table
 
 
@@ -67,6 +67,51 @@ def p6_unit_counts(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("value").alias("unit")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
+#: Compared fields: name in system B, name in system A, kind.
+COMPARED = [
+    ("positionId", "CodeEmploi", "code"),
+    ("divisionId", "CodeDirection", "code"),
+    ("divisionCode", "CodeImputation", "code"),
+    ("siteCode", "CodeSite", "code"),
+    ("payGradeId", "ÉchelleSalariale", "code"),
+    ("onboardDate", "DateEmbaucheRécente", "date"),
+    ("assignmentStartDate", "DateEntréePoste", "date"),
+    ("weeklyHoursOverride", "HeuresNormeHebdo", "number"),
+    ("dailyHoursOverride", "HeuresNormeQuotidienne", "number"),
+]
+KEY = ["person_id", "assignment_type"]
+
+
+def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row per key; combines on the map side, so a key with many rows stays cheap."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*key, "_x.*")
+
+
+def assignments(spark: SparkSession, d: str, system: str) -> DataFrame:
+    """One row per person and assignment type of a system, compared fields in canonical form under their names in B."""
+    side = 1 if system == "A" else 0
+    t = table(spark, d, "rh_source" if system == "A" else "temps_target")
+    if system == "A":
+        kind = F.upper(K.present(F.col("TypeAffectation")))
+        person = "Matricule"
+    else:
+        kind = F.when(K.boolean(F.col("isPrimaryAssignment")), "P").when(K.boolean(F.col("isTemporaryAssignment")), "A").otherwise("S")
+        person = "personId"
+    fields = [K.comparable(f[2], F.col(f[side])).alias(f[0]) for f in COMPARED]
+    rows = t.select(K.code(F.col(person)).alias("person_id"), kind.alias("assignment_type"), *fields, "charge_le", "row_id")
+    return latest(rows.where("person_id is not null and assignment_type is not null"), KEY, ["charge_le", "row_id"]).drop("charge_le", "row_id")
+
+
+def p5_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Every difference with what A says (expected) and what B holds (target), in canonical form."""
+    return setrec.field_differences(assignments(spark, d, "A"), assignments(spark, d, "B"), KEY, [f[0] for f in COMPARED])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_differences(spark, d).select(*KEY, "fld")
+
+
 # ---------------------------------------------------------------- the same in SQL
 
 def sql_code(c: str) -> str:
@@ -92,7 +137,34 @@ def sql_effective(c: str) -> str:
 _RECORDS = f"""rec as (select * from (select {sql_code('IdentifiantPoste')} code_poste, {sql_code('"CodeDirectionAffectée"')} unit, {sql_effective('DateEffetAffectation')} eff, saisi_le, detail_id
   from poste_detail) where code_poste is not null and unit is not null and eff is not null)"""
 
+def sql_number(c: str) -> str:
+    s = f"replace(trim({c}), ',', '.')"
+    return f"(case when {c} is null or lower({s}) in ('', 'nan', 'nat', 'none', 'null', '<na>', 'n/a', '-') then null else coalesce(cast(try_cast({s} as double) as varchar), '?' || {s}) end)"
+
+
+def _sql_side(system: str) -> str:
+    side = 1 if system == "A" else 0
+    person = "Matricule" if system == "A" else "personId"
+    kind = "upper(trim(TypeAffectation))" if system == "A" else "case when lower(trim(isPrimaryAssignment)) in ('true', '1', 'oui', 'vrai') then 'P' when lower(trim(isTemporaryAssignment)) in ('true', '1', 'oui', 'vrai') then 'A' else 'S' end"
+    read = {"code": sql_code, "number": sql_number, "date": lambda c: f"(case when {sql_code(c)} is not null then coalesce(strftime({sql_date(c)}, '%Y-%m-%d'), '?' || trim({c})) end)"}
+    fields = ", ".join(f"""{read[f[2]](f'"{f[side]}"')} v{i}""" for i, f in enumerate(COMPARED))
+    t = "rh_source" if system == "A" else "temps_target"
+    return f"(select * from (select {sql_code(person)} person_id, {kind} assignment_type, {fields}, charge_le, row_id from {t}) where person_id is not null and assignment_type is not null qualify row_number() over (partition by person_id, assignment_type order by charge_le desc, row_id desc) = 1)"
+
+
+_DIFF = f"""with j as (select coalesce(a.person_id, b.person_id) person_id, coalesce(a.assignment_type, b.assignment_type) assignment_type,
+  a.person_id is null no_a, b.person_id is null no_b, {', '.join(f'a.v{i} a{i}, b.v{i} b{i}' for i in range(len(COMPARED)))}
+  from {_sql_side('A')} a full join {_sql_side('B')} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type)
+ """ + " union all ".join(
+    [
+        "select person_id, assignment_type, 'missing_in_target' fld from j where no_b",
+        "select person_id, assignment_type, 'missing_in_source' fld from j where no_a",
+        *(f"select person_id, assignment_type, '{f[0]}' fld from j where not no_a and not no_b and a{i} is distinct from b{i}" for i, f in enumerate(COMPARED)),
+    ]
+)
+
 SQL = {
+    "p5_found": _DIFF,
     "p3_found": f"""with {_RECORDS},
  cur as (select code_poste, eff, arg_max(unit, (saisi_le, detail_id)) unit from rec group by 1, 2),
  chg as (select *, lag(unit) over (partition by code_poste order by eff) before from cur)
@@ -110,4 +182,4 @@ SQL = {
   where eff <= cast(event_ts as date) and saisi_le <= event_ts group by 1)
  select unit, count(*) n_events from best group by 1""",
 }
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p6_found": p6_found, "p6_unit_counts": p6_unit_counts}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_differences": p5_differences, "p6_found": p6_found, "p6_unit_counts": p6_unit_counts}
