@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.functions import kinds as K
-from concordat.llm import confusables, linkage, mojibake
-from concordat.session import table
+from concordat.llm import confusables, linkage, mixing, mojibake, packing, sentences, tokens
+from concordat.session import materialize, table
 
 # ---------------------------------------------------------------- 2 and 4: text repair
 GARBLED_FIELDS = {"rh_source": ["NomFamille"], "temps_target": ["givenName", "surname"], "reprise_source": ["NomFamille"], "reprise_target": ["givenName", "surname"]}
@@ -47,15 +47,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- 1: linkage without keys
 LINKED = [
-    linkage.Attribute("surname", fuzzy=True, agree=0.9),
-    linkage.Attribute("given", fuzzy=True, agree=0.9),
+    linkage.Attribute("surname", fuzzy=True, agree=0.9, swapped="given"),
+    linkage.Attribute("given", fuzzy=True, agree=0.9, swapped="surname"),
     linkage.Attribute("onboard", agree=0.93),
     linkage.Attribute("start", agree=0.9),
     linkage.Attribute("position", agree=0.93),
     linkage.Attribute("division", agree=0.93),
-    linkage.Attribute("cost", block=False, agree=0.93),
-    linkage.Attribute("site", block=False, agree=0.93),
-    linkage.Attribute("grade", block=False, agree=0.93),
+    linkage.Attribute("cost", block=False, agree=0.93, implied_by="division"),
+    linkage.Attribute("site", block=False, agree=0.93, implied_by="cost"),
+    linkage.Attribute("grade", block=False, agree=0.93, implied_by="position"),
     linkage.Attribute("hours", block=False, agree=0.9),
     linkage.Attribute("kind", block=False, agree=0.97),
 ]
@@ -118,5 +118,59 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_links(spark, d).select("source_row_id", "target_row_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_repairs": p2_repairs, "p4_found": p4_found, "p4_forms": p4_forms}
+# ---------------------------------------------------------------- 9: sentence units
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text")
+
+
+# ---------------------------------------------------------------- 7: containers
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in containers of each capacity."""
+    sizes = materialize(tokens.measured(table(spark, d, "documents"), "doc_id", "text"), "sizes")
+    kinds = [(r["nom"], int(r["capacite"])) for r in table(spark, d, "contenant").orderBy("nom").collect()]  # a fixed table of 3 rows
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    return packing.packed(sizes, "doc_id", kinds, max(1, total // packing.RANGE_TOKENS))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused space per capacity."""
+    return packing.fill_report(p7_containers(spark, d), table(spark, d, "contenant"))
+
+
+# ---------------------------------------------------------------- 8: mix
+# Language codes, by the two- and three-letter forms that stand for them.
+LANGUAGES = {"fr": "fr", "fra": "fr", "fre": "fr", "en": "en", "eng": "en", "de": "de", "deu": "de", "ger": "de", "es": "es", "spa": "es", "ru": "ru", "rus": "ru", "zh": "zh", "zho": "zh", "chi": "zh", "ja": "ja", "jpn": "ja", "ar": "ar", "ara": "ar", "hi": "hi", "hin": "hi", "el": "el", "gre": "el", "ell": "el", "th": "th", "tha": "th"}
+
+
+def language(c: Column) -> Column:
+    """One of the language codes, `und` for the rest."""
+    base = F.lower(F.regexp_extract(F.trim(c), "^([A-Za-z]+)", 1))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), base), F.lit("und"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mix and how often each is used."""
+    docs = table(spark, d, "documents")
+    sizes = tokens.measured(docs, "doc_id", "text").join(docs.select("doc_id", "source", language(F.col("lang")).alias("lang")), "doc_id")
+    return mixing.mix(materialize(sizes, "sizes"), "doc_id", table(spark, d, "melange_cible"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.share_report(materialize(p8_mix(spark, d), "mix"), table(spark, d, "melange_cible"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_links": p1_links,
+    "p2_found": p2_found,
+    "p2_repairs": p2_repairs,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+}
 SQL: dict[str, str] = {}
