@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import kinds as K
 from concordat.llm import confusables, linkage, mixing, mojibake, packing, sentences, tokens
-from concordat.session import materialize, table
+from concordat.session import materialize, spread, table
 
 # ---------------------------------------------------------------- 2 and 4: text repair
 GARBLED_FIELDS = {"rh_source": ["NomFamille"], "temps_target": ["givenName", "surname"], "reprise_source": ["NomFamille"], "reprise_target": ["givenName", "surname"]}
@@ -120,13 +120,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- 9: sentence units
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text")
+    return sentences.sentence_units(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 # ---------------------------------------------------------------- 7: containers
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document's place in containers of each capacity."""
-    sizes = materialize(tokens.measured(table(spark, d, "documents"), "doc_id", "text"), "sizes")
+    sizes = materialize(tokens.measured(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), "sizes")
     kinds = [(r["nom"], int(r["capacite"])) for r in table(spark, d, "contenant").orderBy("nom").collect()]  # a fixed table of 3 rows
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     return packing.packed(sizes, "doc_id", kinds, max(1, total // packing.RANGE_TOKENS))
@@ -151,7 +151,7 @@ def language(c: Column) -> Column:
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the mix and how often each is used."""
     docs = table(spark, d, "documents")
-    sizes = tokens.measured(docs, "doc_id", "text").join(docs.select("doc_id", "source", language(F.col("lang")).alias("lang")), "doc_id")
+    sizes = tokens.measured(spread(docs.select("doc_id", "text")), "doc_id", "text").join(docs.select("doc_id", "source", language(F.col("lang")).alias("lang")), "doc_id")
     return mixing.mix(materialize(sizes, "sizes"), "doc_id", table(spark, d, "melange_cible"))
 
 
