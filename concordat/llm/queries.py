@@ -49,6 +49,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 LINKED = [
     linkage.Attribute("surname", fuzzy=True, agree=0.9, swapped="given"),
     linkage.Attribute("given", fuzzy=True, agree=0.9, swapped="surname"),
+    linkage.Attribute("names", scored=False),
     linkage.Attribute("onboard", agree=0.93),
     linkage.Attribute("start", agree=0.9),
     linkage.Attribute("position", agree=0.93),
@@ -105,7 +106,8 @@ def takeover_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
         K.number(F.col("weeklyHoursOverride")).alias("hours"),
         F.when(K.boolean(F.col("isPrimaryAssignment")), "P").when(K.boolean(F.col("isTemporaryAssignment")), "A").when(~K.boolean(F.col("isPrimaryAssignment")) & ~K.boolean(F.col("isTemporaryAssignment")), "S").alias("kind"),
     )
-    return left, right
+    both = F.array_join(F.array_sort(F.array("surname", "given")), " ")  # the same whichever way round
+    return tuple(x.withColumn("names", F.when(F.col("surname").isNotNull() & F.col("given").isNotNull(), both)) for x in (left, right))
 
 
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
