@@ -7,6 +7,7 @@ strings, dates or booleans, so that different notations of one value are equal a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -161,7 +162,7 @@ def compose(c: Column) -> Column:
 
     Rows without a combining mark cost one pattern test. Marks that have no composed form stay as they are.
     """
-    table = F.create_map(*[F.lit(x) for kv in _COMPOSED.items() for x in kv])
+    table = F.from_json(F.lit(json.dumps(_COMPOSED)), "map<string,string>")  # folded to one literal
 
     def step(acc: Column, ch: Column) -> Column:
         joined = F.try_element_at(table, F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), ch))
@@ -211,6 +212,8 @@ def unreadable(kind: str, c: Column) -> Column:
 
 def comparable(kind: str, c: Column) -> Column:
     """Canonical text; where unreadable, the cleaned text behind a mark, so that it equals only itself."""
+    if kind in ("text", "text_loose", "code"):
+        return canonical(kind, c)
     return F.coalesce(canonical(kind, c), F.concat(F.lit("?"), clean_text(present(c))))
 
 
