@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,12 +43,15 @@ PAIRS = {"«": "»", "“": "”", "„": "“”", "(": ")", "[": "]", "「": "
 _MARKS = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values())) + "]")
 _OPENERS = "—–«“„\"'([「『《〈（【‹¿¡   "
 _THAI_GAP = re.compile(r"(?<=[ก-๛”\"»])\s+(?=[ก-๛“\"«])")
+_THAI = re.compile("[ก-๛]")
+_SPLIT = re.compile(r"[\s฀-๿⺀-⿿぀-\ufaff\U00020000-\U0003ffff]")
 _WORD = re.compile(r"[\w][\w'’\-]*")
 _LINKED = re.compile(r"@|://|www\.")
 _GLUED = regex.compile(r"\p{Ll}{3,}[.!?…](?=\p{Lu})")
 _CLOSE_AFTER = "»”\"'’)]」』》〉）】›"
 
 
+@lru_cache(maxsize=4096)
 def _script(ch: str) -> str:
     n = ord(ch)
     if n < 0x250:
@@ -57,10 +62,6 @@ def _script(ch: str) -> str:
     return "K" if n < 0x3000 or 0x3040 <= n < 0xFB00 or n >= 0x20000 else "P"
 
 
-def _spaceless(ch: str) -> bool:
-    return _script(ch) in "KT"
-
-
 def _shape(token: str) -> str:
     """Lower case but for single letters; digits become their pattern."""
     if len(token) == 1 and token.isalpha():
@@ -168,10 +169,7 @@ def _prev(text: str, end: int, lo: int) -> tuple[str, str]:
     s = _script(ch)
     if s in "KT":
         return text[max(lo, i - (2 if s == "K" else 4)) : i], s
-    j = i
-    while j > lo and i - j < 40 and not text[j - 1].isspace() and not _spaceless(text[j - 1]):
-        j -= 1
-    token = text[j:i].lstrip("«“„\"'([¿¡（「")
+    token = _SPLIT.split(text[max(lo, i - 40) : i])[-1].lstrip("«“„\"'([¿¡（「")
     glued = _GLUED.search(token)  # a sentence that began without a space
     return (token[glued.end() :] if glued else token), s
 
@@ -179,11 +177,12 @@ def _prev(text: str, end: int, lo: int) -> tuple[str, str]:
 def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
     """Candidate boundaries strictly inside text[lo:hi], and the block's end as the last one."""
     outer = _pairs(text, lo, hi)
+    openers = {o for o, _ in outer}
     out: list[Candidate] = []
     seen: set[int] = set()
 
     def inside(i: int) -> bool:
-        return any(o < i < c for o, c in outer) if len(outer) < 8 else _inside(outer, i)
+        return bool(outer) and _inside(outer, i)
 
     def add(at: int, term_start: int, term: str, quote: str) -> None:
         if at in seen or at > hi:
@@ -210,7 +209,7 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
         if term == "." and i + 1 < hi and text[i + 1].isdigit():
             continue
         at = m.end()
-        while at < hi and text[at] in _CLOSE_AFTER and not any(o == at for o, _ in outer):
+        while at < hi and text[at] in _CLOSE_AFTER and at not in openers:
             at += 1
         add(at, i, term[:3], "")
     for o, c in outer:
@@ -222,7 +221,7 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
             if _TERM.match(text, at, hi):
                 continue
             add(at, inner.start(), "q" + text[inner.start()], kind)
-    if any(0x0E00 <= ord(ch) < 0x0E80 for ch in text[lo:hi]):
+    if _THAI.search(text, lo, hi):
         for m in _THAI_GAP.finditer(text, lo, hi):
             i = m.start()
             if not inside(i) and text[i - 1] not in TERMINATORS:
@@ -232,9 +231,7 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
 
 
 def _inside(outer: Sequence[tuple[int, int]], i: int) -> bool:
-    import bisect
-
-    k = bisect.bisect_left(outer, (i, 0)) - 1
+    k = bisect_left(outer, (i, 0)) - 1
     return k >= 0 and outer[k][0] < i < outer[k][1]
 
 
@@ -339,10 +336,25 @@ def train(texts: Sequence[str], epochs: int = 6, rate: float = 0.3, decay: float
     return w.astype(np.float32)
 
 
-def segment(text: str | None, weights: np.ndarray) -> list[tuple[int, int]]:
+#: Decisions remembered at once: a candidate's features repeat from document to document.
+REMEMBERED = 1 << 17
+
+
+def _ends(c: Candidate, weights: np.ndarray, known: dict) -> bool:
+    key = (c.prev, c.term, c.gap, c.next, c.next_case, c.quote, c.prev_script, c.next_script)
+    found = known.get(key)
+    if found is None:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        found = known[key] = bool(weights[_features(c)].sum() > 0)
+    return found
+
+
+def segment(text: str | None, weights: np.ndarray, known: dict | None = None) -> list[tuple[int, int]]:
     """Units as (start, end) code point offsets; none for NULL, empty and blank texts."""
     if not text or not text.strip():
         return []
+    known = {} if known is None else known
     out = []
 
     def keep(lo: int, hi: int) -> None:
@@ -357,7 +369,7 @@ def segment(text: str | None, weights: np.ndarray) -> list[tuple[int, int]]:
         at = lo
         if not item:
             for c in candidates(text, lo, hi):
-                if c.gap != "end" and weights[_features(c)].sum() > 0:
+                if c.gap != "end" and _ends(c, weights, known):
                     keep(at, c.at)
                     at = c.at
         keep(at, hi)
@@ -375,10 +387,11 @@ def sentence_units(docs: DataFrame, id_column: str, text_column: str, weights: n
     w = fit(docs, id_column, text_column) if weights is None else weights
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for b in it:
             ids, starts, ends = [], [], []
             for i, t in zip(b["i"], b["t"]):
-                for s, e in segment(t, w):
+                for s, e in segment(t, w, known):
                     ids.append(i)
                     starts.append(s)
                     ends.append(e)
