@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.session import materialize
+from concordat.session import materialize, materialize_all
 
 P = (1 << 61) - 1
 #: Hashes start here; the evaluation points are 1, 2, 3, ... below it.
@@ -25,7 +25,7 @@ FIRST_HASH = 1 << 20
 BUCKET_ROWS = 64
 #: Points that only verify.
 CHECKS = 2
-FIRST_POINTS = 16 + CHECKS
+FIRST_POINTS = 32 + CHECKS
 
 
 def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,8 +132,9 @@ def row_hash(columns: Sequence[Column]) -> Column:
     return F.pmod(F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in columns]), F.lit(P - FIRST_HASH)) + FIRST_HASH
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("_bucket").agg(F.collect_list("_h").alias("hs"))
+def _buckets(rows: DataFrame, n: int) -> DataFrame:
+    """(_bucket, hs): the row hashes of each of n buckets of keys; reads the two hash columns only."""
+    return rows.select(F.pmod("_k", F.lit(n)).alias("_bucket"), "_h").groupBy("_bucket").agg(F.collect_list("_h").alias("hs"))
 
 
 def _sketch(buckets: DataFrame, points: int, side: str) -> DataFrame:
@@ -180,20 +181,20 @@ def differing_rows(left: DataFrame, right: DataFrame, key: Sequence[str], fields
     Empty tables are allowed: then every row of the other copy differs.
     """
     cols = [*key, *fields]
-    n = max(left.count(), right.count())
-    n_buckets = max(8, n // bucket_rows)
     sides = []
     for df in (left, right):
-        bucket = F.pmod(F.xxhash64(F.lit(1), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key]), F.lit(n_buckets))
-        sides.append(df.select(*cols, bucket.alias("_bucket"), row_hash([F.col(c) for c in cols]).alias("_h")))
-    sets = [materialize(_buckets(s), "sets") for s in sides]
+        k = F.xxhash64(F.lit(1), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key])
+        sides.append(df.select(*cols, k.alias("_k"), row_hash([F.col(c) for c in cols]).alias("_h")))
+    sides = materialize_all(sides, "rows")
+    n_buckets = max(8, max(s.count() for s in sides) // bucket_rows)
+    sets = materialize_all([_buckets(s, n_buckets) for s in sides], "sets")
     points, open_buckets, only = FIRST_POINTS, None, ([], [])
     while True:
         now = sets if open_buckets is None else [s.join(open_buckets, "_bucket", "left_semi") for s in sets]
         both = _sketch(now[0], points, "l").join(_sketch(now[1], points, "r"), "_bucket", "full_outer")
         decoded = materialize(_decoded(both, points), "decoded")
         good = decoded.where("ok")
-        found = [materialize(_own_roots(s, good, p), "roots") for s, p in zip(now, ("pl", "pr"))]
+        found = materialize_all([_own_roots(s, good, p) for s, p in zip(now, ("pl", "pr"))], "roots")
         wrong = [f.where(F.size("roots") != F.col("degree")).select("_bucket") for f in found]
         failed = decoded.where("not ok").select("_bucket").unionByName(wrong[0]).unionByName(wrong[1]).distinct()
         bad = materialize(failed, "open")
@@ -209,7 +210,7 @@ def differing_rows(left: DataFrame, right: DataFrame, key: Sequence[str], fields
         hits = parts[0]
         for x in parts[1:]:
             hits = hits.unionByName(x)
-        out.append(df.join(hits, ["_bucket", "_h"], "left_semi").select(*cols))
+        out.append(df.withColumn("_bucket", F.pmod("_k", F.lit(n_buckets))).join(hits, ["_bucket", "_h"], "left_semi").select(*cols))
     return out[0], out[1]
 
 

@@ -43,12 +43,13 @@ def decide(expected: Column, unknown: Column, source: Column, target: Column, ta
     )
 
 
-def _text(c: str | None) -> Column:
-    return F.col(c).cast("string") if c else F.lit(None).cast("string")
-
-
 def unfold(pairs: DataFrame, mapping: Mapping, fields: Sequence[Field], extra: Callable[[Field], tuple[str | None, str | None]]) -> DataFrame:
-    """pairs x fields x readings: keys, field, kind, rule, reading, active, raw sources s1..s3, x1, x2 and raw target."""
+    """pairs x fields x readings: keys, field, kind, rule, reading, active, raw sources s1..s3, x1, x2 and raw target.
+
+    Stated as one SQL expression, which the analyser takes in one go.
+    """
+    text = lambda c: f"cast(`{c}` as string)" if c else "cast(null as string)"
+    quoted = lambda v: "cast(null as string)" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
     items = []
     for f in fields:
         i = mapping.interpretations.get(f.interpretation) if f.interpretation else None
@@ -57,14 +58,13 @@ def unfold(pairs: DataFrame, mapping: Mapping, fields: Sequence[Field], extra: C
             if f.rule.startswith("situation") and i:
                 s[0] = A + choice if choice in ("CodeSuspensionAccès", "CodeStatutEmploi") else choice
             x1, x2 = extra(f)
-            items.append(
-                F.struct(
-                    F.lit(f.target).alias("target_field"), F.lit(f.kind).alias("kind"), F.lit(f.rule).alias("rule"), F.lit(f.criticality).alias("criticality"), F.lit(choice).cast("string").alias("reading"),
-                    F.lit(not i or choice == i.choice).alias("active"), *[_text(c).alias(n) for n, c in zip(_RAW, s)], _text(x1).alias("x1"), _text(x2).alias("x2"), _text(B + f.target).alias("target_raw"),
-                    F.lit(f.params.get("pad")).cast("int").alias("pad"), F.lit(f.params.get("separator")).cast("string").alias("separator"),
-                )
-            )
-    return pairs.select("person_id", "assignment_key", "l", "r", F.explode(F.array(*items)).alias("x")).select("person_id", "assignment_key", "l", "r", "x.*")
+            cells = {
+                "target_field": quoted(f.target), "kind": quoted(f.kind), "rule": quoted(f.rule), "criticality": str(f.criticality), "reading": quoted(choice), "active": str(not i or choice == i.choice).lower(),
+                **{n: text(c) for n, c in zip(_RAW, s)}, "x1": text(x1), "x2": text(x2), "target_raw": text(B + f.target),
+                "pad": f"cast({f.params['pad'] if 'pad' in f.params else 'null'} as int)", "separator": quoted(f.params.get("separator")),
+            }
+            items.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in cells.items()) + ")")
+    return pairs.selectExpr("person_id", "assignment_key", "l", "r", f"explode(array({', '.join(items)})) as x").select("person_id", "assignment_key", "l", "r", "x.*")
 
 
 def _finish(rows: DataFrame, expected: Column, unknown: Column, source: Column | None, kinds: Sequence[str], subcategory: Column | None = None, verdict: Column | None = None, confidence: Column | None = None, target: Column | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialize_all(dfs: list[DataFrame], name: str = "step") -> list[DataFrame]:
+    """materialize() of several independent tables at once, so that small jobs share the cores."""
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(lambda df: materialize(df, name), dfs))

@@ -17,7 +17,7 @@ def test_decode_finds_differences_or_asks_for_more_points():
     for _ in range(60):
         common, x, y = h(r.randrange(0, 40)), h(r.randrange(0, 9)), h(r.randrange(0, 9))
         left, right = (np.array(common + z, np.uint64) for z in (x, y))
-        ea, eb = S.evaluate([left, right], S.FIRST_POINTS)
+        ea, eb = S.evaluate([left, right], 10)
         found = S.decode(ea, eb, len(left), len(right))
         if found is None:
             ea, eb = S.evaluate([left, right], 66)
