@@ -58,7 +58,7 @@ def _kind(ch: str) -> tuple[float, str]:
         script = unicodedata.name(ch, "?").split(" ")[0]
         if script == "LATIN":
             return (1.0 if n < 0x180 else 1.2), script
-        return (1.0 if n in (0xB5,) else 0.2), script
+        return (1.0 if n == 0xB5 else 0.35), script
     return 3.0, ""
 
 
