@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -37,6 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found or LOCAL_CHECKPOINT_DIR
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that materialize() wrote; call it when no DataFrame made from them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
+@atexit.register
+def _release_local() -> None:
+    for path in _written:
+        local = path.removeprefix("file://")
+        if local.startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -44,6 +65,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"concordat-{name}-{uuid.uuid4().hex}")
+    _written.append(path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
