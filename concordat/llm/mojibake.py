@@ -45,7 +45,7 @@ def _kind(ch: str) -> tuple[float, str]:
     if ch in FREQUENT:
         return 0.3 + 0.01 * FREQUENT.index(ch), "LATIN"
     if ch in _TO_LATIN:
-        return 0.2, ""  # a look-alike letter is another fault than a wrong encoding
+        return 0.36, ""  # a look-alike letter is another fault than a wrong encoding
     if ch == "�":
         return 8.0, ""
     if cat == "Cc":
