@@ -156,12 +156,12 @@ def type_census(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = MAPPING.similarity
-    p = joined(spark, d, [x.source for x in s], [x.target for x in s])
-    n = len(s)
-    sides = [(f"x{i}", K.comparable(x.kind, F.col("a_" + x.source))) for i, x in enumerate(s)] + [(f"y{i}", K.comparable(x.kind, F.col("b_" + x.target))) for i, x in enumerate(s)]
-    values = p.select("person_id", "assignment_type", *[c.alias(k) for k, c in sides])
-    return values.select("person_id", "assignment_type", matching.similarity([F.col(f"x{i}") for i in range(n)], [F.col(f"y{i}") for i in range(n)]).alias("score"))
+    """Both sides are normalised before they meet, so the join moves canonical values only."""
+    s, key = MAPPING.similarity, ["person_id", "assignment_type"]
+    a = side(spark, d, "A").select(*key, *[K.comparable(x.kind, F.col(x.source)).alias(f"x{i}") for i, x in enumerate(s)])
+    b = side(spark, d, "B").select(*key, *[K.comparable(x.kind, F.col(x.target)).alias(f"y{i}") for i, x in enumerate(s)])
+    values = a.join(b, key)
+    return values.select(*key, matching.similarity([F.col(f"x{i}") for i in range(len(s))], [F.col(f"y{i}") for i in range(len(s))]).alias("score"))
 
 
 def assignment_pairs(spark: SparkSession, d: str) -> DataFrame:
