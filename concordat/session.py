@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import tempfile
 import uuid
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +30,27 @@ def local_session(app: str = "concordat", cpus: str | int = 8, partitions: int =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once; they need no copy of it and no path to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_concordat_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="concordat-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "concordat.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*")):
+            if f.suffix in (".py", ".yaml"):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(target)
+    sc._concordat_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else a local one that is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
