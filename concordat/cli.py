@@ -26,12 +26,25 @@ def _check(spark, mapping: config.Mapping, tables: str) -> int:
 
 
 def run(spark, mapping: config.Mapping, tables: str, out: str) -> dict[str, int]:
-    """Findings with causes and priorities, written as sheets and as one CSV; returns the verdict counts."""
+    """Findings with causes and priorities, written as sheets and as one CSV; returns the verdict counts of the mapped
+    fields. Assignments without partner are in the sheets and the CSV as the field `affectation`."""
+    return _counts(_scored(spark, mapping, tables, out).where("rule <> 'missing'"))
+
+
+def _counts(found) -> dict[str, int]:
+    return {r["verdict"]: r["n"] for r in verdicts.verdict_counts(found).collect()}
+
+
+def _scored(spark, mapping: config.Mapping, tables: str, out: str):
+    """All findings with causes and priorities, once they are written."""
     from concordat.plans import reconciliation as R
 
-    pairs = materialize(R.pairs_for(spark, tables, mapping.fields), "pairs")
+    matched = R.matched(spark, tables)
+    pairs = materialize(R.pairs_for(spark, tables, mapping.fields, pairs=matched), "pairs")
+    alone = materialize(R.unmatched(spark, tables, matched), "alone")
     evaluated = materialize(verdicts.evaluate(pairs, mapping), "evaluated")
-    found = materialize(verdicts.findings(evaluated), "findings")
+    found = materialize(verdicts.findings(evaluated, verdicts.missing_findings(alone, mapping)), "findings")
+    missing = found.where("rule = 'missing'").join(alone.where("r is null and assignment_type is not null").select("l", "assignment_type"), "l")
     h = mapping.hypotheses
     verified = reduce_union(
         hypotheses.systemic(found, h["systemic_share"], h["systemic_count"]),
@@ -39,6 +52,7 @@ def run(spark, mapping: config.Mapping, tables: str, out: str) -> dict[str, int]
         hypotheses.permutation(found),
         hypotheses.history_record(found, pairs, R.position_history(spark, tables), "poste", "effective", "detail_id"),
         hypotheses.alternative_interpretation(found),
+        hypotheses.type_absent(missing, R.side(spark, tables, "B", True)),
     )
     verified = materialize(verified, "verified")
     scored = materialize(hypotheses.score(found, hypotheses.probable_cause(verified, h["precedence"]), mapping.scoring), "scored")
@@ -53,7 +67,7 @@ def run(spark, mapping: config.Mapping, tables: str, out: str) -> dict[str, int]
         out,
     )
     report.export_csv(hypotheses.investigated(scored), f"{out}/to_investigate.csv")
-    return {r["verdict"]: r["n"] for r in verdicts.verdict_counts(scored).collect()}
+    return scored
 
 
 def reduce_union(*parts):
@@ -90,7 +104,8 @@ def main(argv: list[str] | None = None) -> int:
     problems = _check(spark, mapping, a.tables)
     if a.what == "check" or problems:
         return problems
-    for verdict, n in sorted(run(spark, mapping, a.tables, a.out).items()):
+    found = _scored(spark, mapping, a.tables, a.out)
+    for verdict, n in sorted(_counts(found).items()):
         print(f"{verdict}: {n}")
     release(spark)
     return 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.config import Field, Mapping, load
@@ -18,8 +18,9 @@ MAPPING = load()
 
 
 # ---------------------------------------------------------------- the two systems
-def side(spark: SparkSession, d: str, system: str) -> DataFrame:
-    """Latest row per person and type with its raw columns, person_id, assignment_type and id."""
+def side(spark: SparkSession, d: str, system: str, keyless: bool = False) -> DataFrame:
+    """Latest row per person and type with its raw columns, person_id, assignment_type and id. keyless: rows without
+    type (one a person) and without person (all of them) too, which no other row can be told to repeat."""
     if system == "A":
         t = table(spark, d, "rh_source")
         kind, person = F.upper(K.present(F.col("TypeAffectation"))), "Matricule"
@@ -27,8 +28,31 @@ def side(spark: SparkSession, d: str, system: str) -> DataFrame:
         t = table(spark, d, "temps_target")
         p, q = K.boolean(F.col("isPrimaryAssignment")), K.boolean(F.col("isTemporaryAssignment"))
         kind, person = F.when(p, "P").when(q, "A").otherwise("S"), "personId"
-    rows = t.withColumns({"person_id": K.code(F.col(person)), "assignment_type": kind}).where("person_id is not null and assignment_type is not null")
-    return latest(rows, ["person_id", "assignment_type"], ["charge_le", "row_id"])
+    rows, key = t.withColumns({"person_id": K.code(F.col(person)), "assignment_type": kind}), ["person_id", "assignment_type"]
+    if not keyless:
+        return latest(rows.where("person_id is not null and assignment_type is not null"), key, ["charge_le", "row_id"])
+    return latest(rows.where("person_id is not null"), key, ["charge_le", "row_id"]).unionByName(rows.where("person_id is null"))
+
+
+def similarity_values(system: str) -> list[Column]:
+    """The fields that pairs are scored by, as comparable text v0, v1 ..."""
+    return [K.comparable(x.kind, F.col(x.source if system == "A" else x.target)).alias(f"v{i}") for i, x in enumerate(MAPPING.similarity)]
+
+
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    """(l, r, score, method) over both systems' assignments: same person and type, then across types, then those that
+    one system only holds."""
+    sides = [materialize(side(spark, d, x, True).select(F.col("row_id").alias("id"), F.col("person_id").alias("person"), F.col("assignment_type").alias("kind"), *similarity_values(x)), "side") for x in "AB"]
+    return materialize(matching.match_assignments(*sides, "person", "kind", [f"v{i}" for i in range(len(MAPPING.similarity))], MAPPING.cross_type_least), "matched")
+
+
+def unmatched(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    """The assignments that `pairs` (of matched) leaves to one system: l or r, method, person_id, assignment_type and key."""
+    key = lambda *c: F.concat_ws(":", F.coalesce("assignment_type", F.lit("?")), *c)
+    a = side(spark, d, "A", True).select(F.col("row_id").alias("l"), "person_id", "assignment_type", key(F.coalesce(K.code(F.col("CodePoste")), F.col("row_id").cast("string"))).alias("assignment_key"))
+    b = side(spark, d, "B", True).select(F.col("row_id").alias("r"), "person_id", "assignment_type", key(F.concat(F.lit("target-"), F.col("row_id"))).alias("assignment_key"))
+    columns = ["l", "r", "method", "person_id", "assignment_type", "assignment_key"]
+    return pairs.where("r is null").join(a, "l").select(*columns).unionByName(pairs.where("l is null").join(b, "r").select(*columns))
 
 
 def position_history(spark: SparkSession, d: str) -> DataFrame:
@@ -43,11 +67,14 @@ def reasons(spark: SparkSession, d: str) -> DataFrame:
     return m.where("reason is not null").groupBy("reason").agg(F.max_by(F.struct("lookup_reason", "CodeGestionAccès"), "_o").alias("x")).select("reason", "x.*")
 
 
-def joined(spark: SparkSession, d: str, columns_a: Sequence[str], columns_b: Sequence[str], dates: bool = False, lookup: bool = False) -> DataFrame:
-    """Pairs of equal person and type with the columns asked for, so scans read no others."""
-    a = side(spark, d, "A").select("person_id", "assignment_type", F.col("row_id").alias("l"), K.code(F.col("CodePoste")).alias("history_key"), K.code(F.col("CodeDirection")).alias("history_unit"), K.code(F.col("CodeRaisonStatut")).alias("reason"), *[F.col(c).alias("a_" + c) for c in dict.fromkeys(columns_a)])
-    b = side(spark, d, "B").select("person_id", "assignment_type", F.col("row_id").alias("r"), *[F.col(c).alias("b_" + c) for c in dict.fromkeys(columns_b)])
-    p = a.join(b, ["person_id", "assignment_type"]).withColumn("assignment_key", F.concat_ws(":", "assignment_type", F.coalesce("history_key", "l")))
+def joined(spark: SparkSession, d: str, columns_a: Sequence[str], columns_b: Sequence[str], dates: bool = False, lookup: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs of equal person and type, or those of `pairs` (of matched), with the columns asked for, so scans read no
+    others. A pair across types goes by the type of system A."""
+    keyless = pairs is not None
+    a = side(spark, d, "A", keyless).select("person_id", "assignment_type", F.col("row_id").alias("l"), K.code(F.col("CodePoste")).alias("history_key"), K.code(F.col("CodeDirection")).alias("history_unit"), K.code(F.col("CodeRaisonStatut")).alias("reason"), *[F.col(c).alias("a_" + c) for c in dict.fromkeys(columns_a)])
+    b = side(spark, d, "B", keyless).select("person_id", "assignment_type", F.col("row_id").alias("r"), *[F.col(c).alias("b_" + c) for c in dict.fromkeys(columns_b)])
+    p = a.join(b, ["person_id", "assignment_type"]) if pairs is None else pairs.where("l is not null and r is not null").select("l", "r").join(a, "l").join(b.drop("person_id", "assignment_type"), "r")
+    p = p.withColumn("assignment_key", F.concat_ws(":", F.coalesce("assignment_type", F.lit("?")), F.coalesce("history_key", "l")))
     if dates:
         p = history.attach_interval(p, position_history(spark, d), "history_key", "history_unit", "poste", "effective", "unit", "detail_id")
     if lookup:
@@ -61,13 +88,13 @@ def only(mapping: Mapping, fields: Sequence[Field]) -> Mapping:
     return Mapping(mapping.interpretations, tuple(fields), mapping.tables, mapping.similarity, mapping.cross_type_least, mapping.missing_in_target, mapping.missing_in_source, mapping.hypotheses, mapping.scoring)
 
 
-def pairs_for(spark: SparkSession, d: str, fields: Sequence[Field], all_columns: bool = False) -> DataFrame:
+def pairs_for(spark: SparkSession, d: str, fields: Sequence[Field], all_columns: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     situation = any(f.rule.startswith("situation") for f in fields)
     dated = any(f.rule.startswith("interval") for f in fields)
     a = [c for f in fields for c in f.sources] + (["CodeSuspensionAccès", "CodeStatutEmploi"] if situation else [])
     if all_columns:
         a = [c for c in table(spark, d, "rh_source").columns if c not in ("row_id", "charge_le")]
-    return joined(spark, d, a, [f.target for f in fields], dated, situation)
+    return joined(spark, d, a, [f.target for f in fields], dated, situation, pairs)
 
 
 def evaluated(spark: SparkSession, d: str, fields: Sequence[Field]) -> DataFrame:
@@ -117,9 +144,16 @@ def verdict_by_field(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.verdict_by_field(all_findings(spark, d, CODED))
 
 
+def whole_findings(spark: SparkSession, d: str) -> DataFrame:
+    """All fields of all matched pairs, those across types included, and the assignments that one system only holds."""
+    found = matched(spark, d)
+    pairs = materialize(pairs_for(spark, d, MAPPING.fields, pairs=found), "pairs")
+    return verdicts.findings(verdicts.evaluate(pairs, MAPPING), verdicts.missing_findings(unmatched(spark, d, found), MAPPING))
+
+
 def verdict_counts_all(spark: SparkSession, d: str) -> DataFrame:
-    """All 25 fields, names and addresses included."""
-    return verdicts.verdict_counts(all_findings(spark, d))
+    """All 25 fields, names and addresses included, and the pseudo-field `affectation` of assignments without partner."""
+    return verdicts.verdict_counts(whole_findings(spark, d))
 
 
 def interpretation_agreement(spark: SparkSession, d: str) -> DataFrame:
