@@ -40,17 +40,20 @@ def _scored(spark, mapping: config.Mapping, tables: str, out: str):
     from concordat.plans import reconciliation as R
 
     matched = R.matched(spark, tables)
-    pairs = materialize(R.pairs_for(spark, tables, mapping.fields, pairs=matched), "pairs")
+    pairs, columns = R.with_origins(spark, tables, R.pairs_for(spark, tables, mapping.fields, all_columns=True, pairs=matched))
+    pairs = materialize(pairs, "pairs")
     alone = materialize(R.unmatched(spark, tables, matched), "alone")
     evaluated = materialize(verdicts.evaluate(pairs, mapping), "evaluated")
     found = materialize(verdicts.findings(evaluated, verdicts.missing_findings(alone, mapping)), "findings")
     missing = found.where("rule = 'missing'").join(alone.where("r is null and assignment_type is not null").select("l", "assignment_type"), "l")
     h = mapping.hypotheses
+    rules = materialize(hypotheses.candidate_rules(hypotheses.alternative_sources(found, pairs, mapping, columns), mapping), "rules")
     verified = reduce_union(
         hypotheses.systemic(found, h["systemic_share"], h["systemic_count"]),
         hypotheses.bijection(found, h["bijection_count"]),
         hypotheses.permutation(found),
         hypotheses.history_record(found, pairs, R.position_history(spark, tables), "poste", "effective", "detail_id"),
+        hypotheses.alternative_source(found, pairs, mapping, columns, rules),
         hypotheses.alternative_interpretation(found),
         hypotheses.type_absent(missing, R.side(spark, tables, "B", True)),
     )

@@ -245,7 +245,8 @@ def hyp_alt_interpretation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alt_source_support(spark: SparkSession, d: str) -> DataFrame:
-    """Support of every source column as another origin of each coded field that has anomalies."""
+    """Support of eight coded source columns, those of its SQL, as another origin of each coded field that has anomalies;
+    alt_source_all takes all columns and fields."""
     fields = FAMILIES["verdict_direct_code"]
     pairs = materialize(pairs_for(spark, d, fields, all_columns=True), "pairs")
     f = verdicts.findings(verdicts.evaluate(pairs, only(MAPPING, fields)))
@@ -253,6 +254,45 @@ def alt_source_support(spark: SparkSession, d: str) -> DataFrame:
     return hypotheses.alternative_sources(f, pairs, only(MAPPING, fields), columns)
 
 
+#: Columns that name or date a row and say nothing of the assignment.
+TECHNICAL = ("row_id", "detail_id", "charge_le")
+
+
+def with_origins(spark: SparkSession, d: str, pairs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """pairs (with all columns of system A) with those of the position's latest record and of the reason's lookup row, and
+    the names of all columns that another origin is looked for in."""
+    h, m = table(spark, d, "poste_detail"), table(spark, d, "motifs")
+    ch, cm = ([c for c in t.columns if c not in TECHNICAL] for t in (h, m))
+    dated = h.withColumns({"poste": K.code(F.col("IdentifiantPoste")), "effective": K.effective_date(F.col("DateEffetAffectation"))}).where("poste is not null and effective is not null")
+    last = latest(dated, ["poste"], ["effective", "detail_id"]).withColumn("DateEffetAffectation", F.col("effective"))
+    last = last.select(F.col("poste").alias("history_key"), *[F.col(c).cast("string").alias(f"a_poste_detail:{c}") for c in ch])
+    rows = m.select(K.code(F.col("CodeCatégorieStatut")).alias("reason"), F.struct(*cm).alias("x"), F.col("CodeCatégorieStatut").alias("_o")).where("reason is not null").groupBy("reason").agg(F.max_by("x", "_o").alias("x"))
+    rows = rows.select("reason", *[F.col("x")[c].cast("string").alias(f"a_motifs:{c}") for c in cm])
+    own = [c for c in table(spark, d, "rh_source").columns if c not in TECHNICAL]
+    columns = [*own, *[f"poste_detail:{c}" for c in ch], *[f"motifs:{c}" for c in cm]]
+    excluded = MAPPING.hypotheses["excluded_columns"]
+    return pairs.join(last, "history_key", "left").join(F.broadcast(rows), "reason", "left"), [c for c in columns if c.split(":")[-1] not in excluded]  # a fixed table of 60 rows
+
+
+def _alt_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str], DataFrame]:
+    pairs, columns = with_origins(spark, d, pairs_for(spark, d, MAPPING.fields, all_columns=True, pairs=matched(spark, d)))
+    pairs = materialize(pairs, "pairs")
+    f = materialize(verdicts.findings(verdicts.evaluate(pairs, MAPPING)), "findings")
+    return f, pairs, columns, hypotheses.alternative_sources(f, pairs, MAPPING, columns)
+
+
+def alt_source_all(spark: SparkSession, d: str) -> DataFrame:
+    """Support of every column of system A, of the position's latest record and of the lookup, for every field."""
+    return _alt_all(spark, d)[3]
+
+
+def hyp_alt_source(spark: SparkSession, d: str) -> DataFrame:
+    """Findings that another origin explains, by the rules that hold."""
+    f, pairs, columns, alternatives = _alt_all(spark, d)
+    rules = materialize(hypotheses.candidate_rules(alternatives, MAPPING), "rules")
+    return hypotheses.alternative_source(f, pairs, MAPPING, columns, rules).select("finding_id", "target_field", "detail", "support")
+
+
 # ---------------------------------------------------------------- SQL
 def sql_text(c: str) -> str:
     s = f"trim(regexp_replace({c}, '[\\s\\x{{a0}}]+', ' ', 'g'))"
@@ -411,4 +451,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hyp_history_record": hyp_history_record,
     "hyp_alt_interpretation": hyp_alt_interpretation,
     "alt_source_support": alt_source_support,
+    "alt_source_all": alt_source_all,
+    "hyp_alt_source": hyp_alt_source,
 }

@@ -41,3 +41,13 @@ def test_run_reports_assignments_of_one_system(spark, tables, tmp_path):
     rows = spark.read.parquet(str(next((tmp_path / "out").glob("findings*")))).where("target_field = 'affectation'").collect()
     assert len(rows) == 3 and all(r["priority"] is not None for r in rows)
     assert [r["hypotheses"] for r in rows if r["l"] == 3] == [["H-TYPE-ABSENT"]]
+
+
+def test_other_origins_of_any_column_are_attached(spark, sf, tmp_path):
+    # the target's hiring date is the assignment's start, a date that the direct rule doesn't look at
+    a = [{"Matricule": str(i), "TypeAffectation": "P", "DateEmbaucheRécente": "2001-01-01", "DateEntréePoste": f"2010-01-0{i}"} for i in range(1, 8)]
+    b = [{"personId": str(i), "isPrimaryAssignment": "true", "onboardDate": f"2010-01-0{i}"} for i in range(1, 8)]
+    d = write(spark, sf, tmp_path, a, b)
+    cli.run(spark, R.MAPPING, d, str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out" / "findings")).where("target_field = 'onboardDate'").collect()
+    assert len(rows) == 7 and all("H-ALT-SOURCE" in r["hypotheses"] for r in rows)
