@@ -51,7 +51,7 @@ def _scored(spark, mapping: config.Mapping, tables: str, out: str):
     verified = reduce_union(
         hypotheses.systemic(found, h["systemic_share"], h["systemic_count"]),
         hypotheses.bijection(found, h["bijection_count"]),
-        hypotheses.permutation(found),
+        hypotheses.permutation(found, whole=True),
         hypotheses.history_record(found, pairs, R.position_history(spark, tables), "poste", "effective", "detail_id"),
         hypotheses.alternative_source(found, pairs, mapping, columns, rules),
         hypotheses.alternative_interpretation(found),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +71,41 @@ def swaps(findings: DataFrame) -> DataFrame:
     return j.select(F.col("a.target_field").alias("target_field"), *[F.col(f"{s}.{c}").alias(f"{n}_{s}") for s in "ab" for c, n in (("finding_id", "finding"), ("l", "l"), ("r", "r"))], F.col("a.expected").alias("value_a"), F.col("b.expected").alias("value_b"))
 
 
-def permutation(findings: DataFrame) -> DataFrame:
-    s = swaps(findings)
+def _swap_group(rows: pd.DataFrame) -> pd.DataFrame:
+    """Swaps of one field and two values: each finding, in order, takes the next free one of the other direction and of
+    another person."""
+    rows = rows.sort_values(["finding_id", "l", "r"], ignore_index=True)
+    person, lower = rows["person_id"].tolist(), (rows["expected"] == rows["lo"]).tolist()
+    sides = {d: [i for i, x in enumerate(lower) if x == d] for d in (True, False)}
+    start, used, out = {True: 0, False: 0}, set(), []
+    for i, d in enumerate(lower):
+        if i in used:
+            continue
+        other, n = sides[not d], start[not d]
+        while n < len(other) and (other[n] < i or other[n] in used):
+            n += 1
+        start[not d] = n
+        j = next((x for x in other[n:] if x not in used and person[x] != person[i]), None)
+        if j is not None:
+            used |= {i, j}
+            out.append((i, j) if d else (j, i))
+    a, b = (rows.iloc[[p[k] for p in out]].reset_index(drop=True) for k in (0, 1))
+    cells = {"target_field": a["target_field"]}
+    for n, x in (("a", a), ("b", b)):
+        cells |= {f"finding_{n}": x["finding_id"], f"l_{n}": x["l"], f"r_{n}": x["r"]}
+    return pd.DataFrame(cells | {"value_a": a["expected"], "value_b": b["expected"]})
+
+
+def whole_swaps(findings: DataFrame) -> DataFrame:
+    """As swaps, but each finding goes on to the next free one of another person. One task sees the findings of a field
+    that two values share."""
+    x = findings.where((F.col("verdict") == "ANOMALIE") & F.col("expected").isNotNull() & F.col("target_norm").isNotNull() & (F.col("expected") != F.col("target_norm")))
+    x = x.select(*KEY, "person_id", "expected", F.least("expected", "target_norm").alias("lo"), F.greatest("expected", "target_norm").alias("hi"))
+    return x.groupBy("target_field", "lo", "hi").applyInPandas(_swap_group, "target_field string, finding_a string, l_a long, r_a long, finding_b string, l_b long, r_b long, value_a string, value_b string")
+
+
+def permutation(findings: DataFrame, whole: bool = False) -> DataFrame:
+    s = whole_swaps(findings) if whole else swaps(findings)
     sides = [s.select(F.col(f"finding_{x}").alias("finding_id"), F.col(f"l_{x}").alias("l"), F.col(f"r_{x}").alias("r"), "target_field", F.col(f"finding_{y}").alias("other")) for x, y in ("ab", "ba")]
     return _verified(sides[0].unionByName(sides[1]), "H-PERMUTATION", None, F.col("other"))
 

@@ -149,6 +149,11 @@ def test_swaps(spark):
     assert [(r["finding_a"], r["finding_b"]) for r in hypotheses.swaps(f).collect()] == [("1", "2")]
 
 
+def test_whole_swaps_go_on_past_pairs_of_one_person(spark):
+    f = frame(spark, [(1, "f", "X", "A", "B"), (2, "f", "Y", "A", "B"), (3, "f", "X", "B", "A"), (4, "f", "Z", "B", "A")])
+    assert len(hypotheses.whole_swaps(f).collect()) == 2 and len(hypotheses.swaps(f).collect()) == 1
+
+
 def test_systemic_and_bijection_thresholds(spark):
     rows = [(i, "f", f"p{i}", f"v{i % 3}", f"w{i % 3}") for i in range(8)] + [(20 + i, "g", f"p{i}", f"v{i}", f"w{i}") for i in range(8)] + [(40 + i, "h", f"p{i}", "v", f"w{i % 2}") for i in range(8)] + [(60 + i, "n", f"p{i}", "v", "w") for i in range(4)]
     f = frame(spark, rows)
