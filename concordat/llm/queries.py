@@ -126,12 +126,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 7: containers
+def sizes(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return materialize(tokens.measured(spread(table(spark, d, "documents").select("doc_id", "text", *keep)), "doc_id", "text", keep), "sizes")
+
+
+def _packed(spark: SparkSession, d: str, sized: DataFrame) -> DataFrame:
+    kinds = [(r["nom"], int(r["capacite"])) for r in table(spark, d, "contenant").orderBy("nom").collect()]  # a fixed table of 3 rows
+    return packing.packed(sized, "doc_id", kinds, tokens.BITS * tokens.DIMS)
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document's place in containers of each capacity."""
-    sizes = materialize(tokens.measured(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), "sizes")
-    kinds = [(r["nom"], int(r["capacite"])) for r in table(spark, d, "contenant").orderBy("nom").collect()]  # a fixed table of 3 rows
-    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    return packing.packed(sizes, "doc_id", kinds, max(1, total // packing.RANGE_TOKENS))
+    return _packed(spark, d, sizes(spark, d))
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -139,6 +145,12 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, d), table(spark, d, "contenant"))
 
 
+def p7_nearness(spark: SparkSession, d: str) -> DataFrame:
+    """How alike the documents of a container are, against documents drawn at random."""
+    sized = sizes(spark, d)
+    return packing.nearness(materialize(_packed(spark, d, sized), "packed"), sized, "doc_id")
+
+
 # ---------------------------------------------------------------- 8: mix
 # Language codes, by the two- and three-letter forms that stand for them.
 LANGUAGES = {"fr": "fr", "fra": "fr", "fre": "fr", "en": "en", "eng": "en", "de": "de", "deu": "de", "ger": "de", "es": "es", "spa": "es", "ru": "ru", "rus": "ru", "zh": "zh", "zho": "zh", "chi": "zh", "ja": "ja", "jpn": "ja", "ar": "ar", "ara": "ar", "hi": "hi", "hin": "hi", "el": "el", "gre": "el", "ell": "el", "th": "th", "tha": "th"}
@@ -150,16 +162,27 @@ def language(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), base), F.lit("und"))
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix and all documents by source, language and topic."""
+    sized = tokens.with_topics(sizes(spark, d, "source", "lang").withColumn("lang", language(F.col("lang"))))
+    return mixing.mix(sized, "doc_id", table(spark, d, "melange_cible")), sized
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the mix and how often each is used."""
-    docs = table(spark, d, "documents")
-    sizes = tokens.measured(spread(docs.select("doc_id", "text")), "doc_id", "text").join(docs.select("doc_id", "source", language(F.col("lang")).alias("lang")), "doc_id")
-    return mixing.mix(materialize(sizes, "sizes"), "doc_id", table(spark, d, "melange_cible"))
+    return _mixed(spark, d)[0].select("doc_id", "source", "n_tokens", "copies")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual share of each source."""
-    return mixing.share_report(materialize(p8_mix(spark, d), "mix"), table(spark, d, "melange_cible"))
+    """Target, allowed and actual share of each source, and its shortfall."""
+    mixed, docs = _mixed(spark, d)
+    return mixing.share_report(materialize(mixed, "mix"), docs, table(spark, d, "melange_cible"))
+
+
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of languages and topics in the corpus and in the mix."""
+    mixed, docs = _mixed(spark, d)
+    return mixing.marginal_report(materialize(mixed, "mix"), docs, table(spark, d, "melange_cible"))
 
 
 QUERIES = {
@@ -171,8 +194,10 @@ QUERIES = {
     "p4_forms": p4_forms,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_nearness": p7_nearness,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_marginals": p8_marginals,
     "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}

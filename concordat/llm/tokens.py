@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,12 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 COMPONENTS = 4096
 DIMS = 3
 BITS = 10
-#: A text is encoded in pieces of about this many characters, cut before white space, so that memory stays bounded.
+#: A text is encoded in pieces of about this many characters, so that memory stays bounded.
 PIECE = 200_000
+#: Where a new pre-token surely begins, whatever stands before: white space after other characters, the end of a run of
+#: letters or digits. Cut there, the pieces give the same tokens as the whole text.
+_BOUNDARY = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
+
 
 
 def load(path: str):
@@ -30,13 +35,15 @@ def load(path: str):
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str) -> Iterator[str]:
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of `size` characters and as many more as the next pre-token boundary takes."""
     at = 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        cut = cut if cut > at else at + PIECE
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > size:
+        m = _BOUNDARY.search(text, at + size)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
@@ -77,17 +84,20 @@ def squash(v: np.ndarray) -> np.ndarray:
     return np.clip((np.tanh(v * 1.2) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
-def measured(docs: DataFrame, id_column: str, text_column: str, path: str = TOKENIZER) -> DataFrame:
-    """(id, n_tokens int, curve long, topic int) of every document; NULL and empty texts have 0 tokens and curve 0.
+def measured(docs: DataFrame, id_column: str, text_column: str, keep: Sequence[str] = (), path: str = TOKENIZER) -> DataFrame:
+    """(id, n_tokens int, curve long, v0, v1, v2 float, keep...) of every document; NULL and empty texts have 0 tokens,
+    curve 0 and a zero vector.
 
-    curve is the Hilbert index of the document's projected vector, topic the octant the vector lies in.
+    curve is the Hilbert index of the document's projected vector, v0..v2 that vector; the columns of `keep` are passed
+    through.
     """
+    names = [f"v{k}" for k in range(DIMS)]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, proj = load(path), projection()
         for b in it:
             sizes, vectors = [], []
-            for t in b["t"]:
+            for t in b["_t"]:
                 size, total = 0, np.zeros(COMPONENTS, np.int64)
                 for piece in pieces(t or ""):
                     ids = np.asarray(enc.encode_ordinary(piece), np.int64)
@@ -97,10 +107,22 @@ def measured(docs: DataFrame, id_column: str, text_column: str, path: str = TOKE
                 weight = np.sqrt(total.astype(np.float32))  # frequent tokens count less
                 vectors.append(weight @ proj / max(1e-6, float(np.linalg.norm(weight))))
             v = np.asarray(vectors, np.float32).reshape(-1, DIMS)
-            filled = np.asarray(sizes) > 0
-            curve = np.where(filled, hilbert(squash(v)), 0)
-            topic = np.where(filled, (v > 0) @ (1 << np.arange(DIMS)), 0)
-            yield pd.DataFrame({"i": b["i"].to_numpy(), "n_tokens": np.asarray(sizes, np.int32), "curve": curve, "topic": topic.astype(np.int32)})
-
-    rows = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t"))
-    return rows.mapInPandas(run, "i long, n_tokens int, curve long, topic int").withColumnRenamed("i", id_column)
+            out = b.drop(columns="_t")
+            out["n_tokens"] = np.asarray(sizes, np.int32)
+            out["curve"] = np.where(np.asarray(sizes) > 0, hilbert(squash(v)), 0)
+            for k, n in enumerate(names):
+                out[n] = v[:, k]
+            yield out
+
+    rows = docs.select(F.col(id_column).cast("long").alias(id_column), *keep, F.col(text_column).alias("_t"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInPandas(run, f"{head}, n_tokens int, curve long, " + ", ".join(f"{n} float" for n in names))
+
+
+def with_topics(sized: DataFrame) -> DataFrame:
+    """sized (of measured) with `topic`: the octant its vector lies in about the corpus's medians, so that the topics are
+    of like size whatever the projection. Documents without tokens have topic 0."""
+    names = [f"v{k}" for k in range(DIMS)]
+    middle = sized.where("n_tokens > 0").agg(*[F.percentile_approx(n, 0.5, 10000).alias(n) for n in names]).first()  # one row
+    bits = [F.when(F.col(n) > F.lit(float(middle[n] or 0)), 1 << k).otherwise(0) for k, n in enumerate(names)]
+    return sized.withColumn("topic", F.when(F.col("n_tokens") > 0, sum(bits[1:], bits[0])).otherwise(0)).drop(*names)
