@@ -79,7 +79,8 @@ def number(c: Column) -> Column:
 def code(c: Column) -> Column:
     """Identifier: integers lose leading zeros and a zero fraction, anything else is cleaned text in its own case."""
     rare = F.when(c.rlike(_EXPONENT), F.coalesce(_found(_exponent(c), r"^(-?\d+)$"), present(c))).otherwise(_integer(clean_text(present(c))))
-    return F.when(c.rlike("^[1-9][0-9]*$"), c).otherwise(rare)
+    padded = F.regexp_replace(c, r"^ *0*(\d+?)(?:\.0*)? *$", "$1")
+    return F.when(c.rlike("^[1-9][0-9]*$"), c).when(c.rlike(r"^ *\d+(?:\.0*)? *$"), padded).otherwise(rare)
 
 
 def boolean(c: Column) -> Column:
@@ -96,7 +97,16 @@ def date(c: Column) -> Column:
     s = F.regexp_replace(s, r"^(\d{4})/(\d{1,2})/(\d{1,2})Z?$", "$1-$2-$3")
     s = F.regexp_replace(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})Z?$", "$3-$2-$1")
     rare = _found(s, r"^(\d{4}-\d{1,2}-\d{1,2})$").try_cast("date")  # a cast, since failed parses would cost an exception each
-    return F.when(c.rlike(r"^\d{4}-\d\d-\d\d([T ]00:00:00(\.0+)?Z?)?$"), F.substring(c, 1, 10).try_cast("date")).otherwise(rare)
+    return _quick_date(c).otherwise(rare)
+
+
+def _quick_date(c: Column, first: Column | None = None) -> Column:
+    """The frequent notations, each by one pattern; `first` holds cases that go before."""
+    part = lambda a, n: F.substring(c, a, n)
+    iso = c.rlike(r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:00:00(?:\.0{1,6})?Z?)?$") & ~c.rlike("[T ](?:2[4-9]|[3-9])")
+    x = F.when(iso, part(1, 10).try_cast("date")) if first is None else first.when(iso, part(1, 10).try_cast("date"))
+    x = x.when(c.rlike(r"^\d\d/\d\d/\d{4}$"), F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)).try_cast("date"))
+    return x.when(c.rlike(r"^\d{4}/\d\d/\d\d$"), F.replace(c, F.lit("/"), F.lit("-")).try_cast("date"))
 
 
 def _serial(c: Column, pattern: str) -> Column:
@@ -111,7 +121,9 @@ def serial_date(c: Column) -> Column:
 
 def effective_date(c: Column) -> Column:
     """Digits only (or with a zero fraction): a day number; anything else: a date."""
-    return F.when(c.rlike("^[1-9][0-9]{0,5}$"), F.date_add(F.lit(SERIAL_EPOCH).cast("date"), c.try_cast("int"))).otherwise(F.coalesce(_serial(c, r"^(\d{1,9})(?:\.0+)?$"), date(c)))
+    day = lambda n: F.date_add(F.lit(SERIAL_EPOCH).cast("date"), n.try_cast("int"))
+    number_first = F.when(c.rlike("^[1-9][0-9]{0,5}$"), day(c)).when(c.rlike(r"^[1-9][0-9]{0,5}\.0$"), day(F.substring_index(c, ".", 1)))
+    return _quick_date(c, number_first).otherwise(F.coalesce(_serial(c, r"^(\d{1,9})(?:\.0+)?$"), date(c)))
 
 
 # The 27 characters that Windows-1252 holds in 0x80-0x9F, with their bytes.

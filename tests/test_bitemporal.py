@@ -54,8 +54,8 @@ def test_hot_key_is_salted(spark):
     ledger = bitemporal.bitemporal_ledger(spark.createDataFrame(rows, SCHEMA), "k", "d", "r", "u", "t")
     ev = [(i, "h", day(i % 30), hour(1000 + i)) for i in range(300)]
     e = spark.createDataFrame(ev, "id int, k string, day date, ts timestamp")
-    assert asof.hot_keys(e, "k") == ["h"]
-    got = {x["id"]: x["value"] for x in asof.asof_join(e, ledger, "k", "day", "ts").collect()}
+    assert [tuple(r) for r in asof.hot_keys(e.groupBy("k").agg(F.count("id").alias("n")), "k", 300, 40).collect()] == [("h", 8)]
+    got = {x["id"]: x["value"] for x in asof.asof_join(e, ledger, "k", "day", "ts", task_events=40).collect()}
     assert got == {i: brute(rows, "h", d, t) for i, _, d, t in ev}
 
 
