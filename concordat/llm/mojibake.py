@@ -21,9 +21,8 @@ from concordat.llm.confusables import _TO_LATIN
 # Encodings a text may have been read with, and written in.
 READ_WITH = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"]
 WRITTEN_IN = ["utf-8", "cp1252", "cp850", "cp437", "mac_roman"]
-#: A repair must lower the cost by this much.
+#: A repair must lower the cost by this much; so layers are taken off until nothing does, however many there are.
 LEAST_DROP = 1.5
-MAX_LAYERS = 4
 
 _ORDINARY = set(" -'.,()/&")
 # Accented letters of European names, the frequent ones first; each costs a little more than the one before.
@@ -120,7 +119,7 @@ _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 def repair(text: str) -> tuple[bool, str]:
     """(garbled, restored text). The text itself comes back where nothing can be restored."""
     now, cost = text, garbling_cost(text)
-    for _ in range(MAX_LAYERS):
+    while True:
         c, again = _one_layer(now)
         if c > cost - LEAST_DROP:
             # whole text can't be turned back: single runs may

@@ -26,8 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents the classifier is fitted on at most, taken by hash of their id; every document is segmented.
-TRAIN_DOCS = 4000
+#: Documents, and characters of them, the classifier is fitted on at most, taken by hash of their id; every document is
+#: segmented.
+TRAIN_DOCS, TRAIN_CHARS = 4000, 16_000_000
 #: Weights of the classifier; features are hashed into them.
 DIMENSIONS = 1 << 16
 #: A token seen so often before a terminator, and never at a block's end, doesn't end sentences: short tokens, others.
@@ -62,11 +63,12 @@ def _script(ch: str) -> str:
     return "K" if n < 0x3000 or 0x3040 <= n < 0xFB00 or n >= 0x20000 else "P"
 
 
+@lru_cache(maxsize=1 << 16)
 def _shape(token: str) -> str:
     """Lower case but for single letters; digits become their pattern."""
     if len(token) == 1 and token.isalpha():
         return token
-    return re.sub(r"\d{5,}", "00000", re.sub(r"\d", "0", token.lower()))[:24]
+    return re.sub(r"\d{5,}", "00000", re.sub(r"\d", "0", token.lower()))[:SHAPE]
 
 
 def blocks(text: str) -> list[tuple[int, int, bool]]:
@@ -140,6 +142,10 @@ class Candidate:
     next_script: str
 
 
+#: Characters of a token beside a candidate that its features see, at most; boundaries themselves are found in whole texts.
+SEEN, SHAPE = 40, 24
+
+
 def _next(text: str, at: int, hi: int) -> tuple[str, str, str]:
     """(token, case, script) after a position."""
     i = at
@@ -151,7 +157,7 @@ def _next(text: str, at: int, hi: int) -> tuple[str, str, str]:
     s = _script(ch)
     if s in "KT":
         return text[i : i + (2 if s == "K" else 4)], "c", s
-    m = _WORD.match(text, i, min(hi, i + 40))
+    m = _WORD.match(text, i, min(hi, i + SEEN))
     if not m:
         return ch, "s", "P"
     w = m[0]
@@ -169,7 +175,7 @@ def _prev(text: str, end: int, lo: int) -> tuple[str, str]:
     s = _script(ch)
     if s in "KT":
         return text[max(lo, i - (2 if s == "K" else 4)) : i], s
-    token = _SPLIT.split(text[max(lo, i - 40) : i])[-1].lstrip("«“„\"'([¿¡（「")
+    token = _SPLIT.split(text[max(lo, i - SEEN) : i])[-1].lstrip("«“„\"'([¿¡（「")
     glued = _GLUED.search(token)  # a sentence that began without a space
     return (token[glued.end() :] if glued else token), s
 
@@ -188,14 +194,16 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
         if at in seen or at > hi:
             return
         seen.add(at)
-        rest = text[at:hi]
-        gap = "end" if not rest.strip() else "none" if not rest[0].isspace() else "line" if "\n" in rest[: len(rest) - len(rest.lstrip())] else "space"
-        nxt, case, ns = _next(text, at, hi)
+        word = at
+        while word < hi and text[word].isspace():
+            word += 1
+        gap = "end" if word >= hi else "none" if word == at else "line" if text.find("\n", at, word) >= 0 else "space"
+        nxt, case, ns = _next(text, word, hi)
         prev, ps = _prev(text, term_start, lo)
         if gap == "none":
             if term[0] in ".;" and (case not in "Uc" or _LINKED.search(prev) or "/" in prev):
                 return
-            if case == "s" or rest[0] in ",;:،؛、，；：)":
+            if case == "s" or text[at] in ",;:،؛、，；：)":
                 return
         out.append(Candidate(at, prev, term, gap, nxt, case, quote, ps, ns))
 
@@ -376,10 +384,20 @@ def segment(text: str | None, weights: np.ndarray, known: dict | None = None) ->
     return out
 
 
-def fit(docs: DataFrame, id_column: str, text_column: str, train_docs: int = TRAIN_DOCS) -> np.ndarray:
-    """Classifier of a corpus, from at most `train_docs` whole documents picked by hash of their id."""
-    sample = docs.where(F.trim(F.col(text_column)) != "").select(F.xxhash64(F.col(id_column)).alias("h"), F.col(text_column).alias("t")).orderBy("h", "t").limit(train_docs)
-    return train([r["t"] for r in sample.collect()])
+def fit(docs: DataFrame, id_column: str, text_column: str, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> np.ndarray:
+    """Classifier of a corpus, from at most `train_docs` whole documents of together at most `train_chars` characters (or
+    one), picked by hash of their id. No task sends more than about its share of them to the driver."""
+    texts = docs.where(F.col(text_column).isNotNull()).select(F.xxhash64(F.col(id_column)).alias("h"), F.col(text_column).alias("t"))
+    n = texts.count()
+    share = int(min(1.0, (1.3 * train_docs + 200) / max(n, 1)) * (1 << 30))
+    sample = texts.where((F.pmod(F.shiftrightunsigned("h", 20), F.lit(1 << 30)) < share) & (F.trim("t") != "")).orderBy("h", "t").limit(train_docs)
+    taken, chars = [], 0
+    for r in sample.toLocalIterator():
+        if taken and chars + len(r["t"]) > train_chars:
+            break
+        taken.append(r["t"])
+        chars += len(r["t"])
+    return train(taken)
 
 
 def sentence_units(docs: DataFrame, id_column: str, text_column: str, weights: np.ndarray | None = None) -> DataFrame:
