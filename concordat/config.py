@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
@@ -39,6 +40,8 @@ class Field:
     criticality: int
     interpretation: str | None = None
     params: dict[str, Any] = field(default_factory=dict)
+    id: str = ""
+    ref: str = ""
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,10 @@ class Mapping:
             if v != i.choice and v not in i.alternatives:
                 raise ValueError(f"unknown choice {v} of {k}")
             now[k] = Interpretation(v, tuple(x for x in (i.choice, *i.alternatives) if x != v), i.params)
-        return Mapping(now, self.fields, self.tables, self.similarity, self.cross_type_least, self.missing_in_target, self.missing_in_source, self.hypotheses, self.scoring)
+        return replace(self, interpretations=now)
+
+    def only(self, fields: Sequence[Field]) -> Mapping:
+        return replace(self, fields=tuple(fields))
 
 
 def load(path: str | Path = DEFAULT) -> Mapping:
@@ -133,7 +139,7 @@ def build(raw: Any) -> Mapping:
             need((f.get("params") or {}).get("table") in tables, f"{where}: unknown decision table")
         if f.get("rule") == "flag":
             need(all(f.get("target") in v for v in (tables.get("flags") or {"": {}}).values()), f"{where}: the flags table lacks it")
-        fields.append(Field(f.get("target"), tuple(f.get("sources") or ()), f.get("kind"), f.get("rule"), f.get("criticality"), f.get("interpretation"), dict(f.get("params") or {})))
+        fields.append(Field(f.get("target"), tuple(f.get("sources") or ()), f.get("kind"), f.get("rule"), f.get("criticality"), f.get("interpretation"), dict(f.get("params") or {}), f.get("id") or f"R-{f.get('target')}", str(f.get("ref") or "")))
     targets = [f.target for f in fields]
     need(bool(fields), "no fields")
     need(len(set(targets)) == len(targets), "a target field stands twice")
@@ -143,7 +149,12 @@ def build(raw: Any) -> Mapping:
         need(s.get("kind") in KINDS, f"similarity {s.get('target')}: unknown kind {s.get('kind')}")
         sims.append(Similarity(s.get("source"), s.get("target"), s.get("kind")))
     need(bool(sims), "no similarity fields")
-    need(0 <= (m.get("cross_type_least", 0.6) or 0) <= 1, "cross_type_least must be from 0 to 1")
+    least = m.get("cross_type_least", 0.6)
+    need(isinstance(least, (int, float)) and 0 < least <= 1, "cross_type_least must be above 0 and at most 1")
+    for k in ("missing_in_target", "missing_in_source"):
+        need(isinstance(m.get(k, 4), int) and 1 <= m.get(k, 4) <= 5, f"{k} must be a criticality from 1 to 5")
+    ids = [f.id for f in fields]
+    need(len(set(ids)) == len(ids), "a rule id stands twice")
     h = raw.get("hypotheses") or {}
     need(set(h.get("precedence") or ()) == set(HYPOTHESES) and len(h.get("precedence") or ()) == len(HYPOTHESES), "precedence must name every hypothesis once")
     for k in ("systemic_share", "alt_source_support"):
@@ -162,10 +173,12 @@ def build(raw: Any) -> Mapping:
     return Mapping(inter, tuple(fields), tables, tuple(sims), m.get("cross_type_least", 0.6), m.get("missing_in_target", 5), m.get("missing_in_source", 4), h, s)
 
 
-def against_data(mapping: Mapping, source_columns: list[str], target_columns: list[str]) -> list[str]:
-    """Columns the mapping names that the data lack."""
+def against_data(mapping: Mapping, source_columns: list[str], target_columns: list[str], declared: Sequence[str] = ()) -> list[str]:
+    """Columns the mapping names that the data lack, and declared target columns that no field maps."""
     out = [f"{f.target}: no source column {c}" for f in mapping.fields for c in f.sources if c not in source_columns]
-    return out + [f"no target column {f.target}" for f in mapping.fields if f.target not in target_columns]
+    out += [f"no target column {f.target}" for f in mapping.fields if f.target not in target_columns]
+    mapped = {f.target for f in mapping.fields}
+    return out + [f"{c}: declared but not mapped" for c in sorted(set(declared) - mapped)]
 
 
 def documentation(mapping: Mapping) -> str:

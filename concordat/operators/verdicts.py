@@ -22,7 +22,14 @@ INVESTIGATE = ["ANOMALIE", "INDETERMINE"]
 #: Names of the columns of a pair: its own, and those of its two rows behind these prefixes.
 A, B = "a_", "b_"
 
-_RAW = ["s1", "s2", "s3"]
+
+def _raw(n: int) -> list[str]:
+    """Names of the raw sources of a row."""
+    return [f"s{k + 1}" for k in range(n)]
+
+
+#: Columns every rule finds at least.
+_RAW = _raw(3)
 
 
 def by_kind(kind: Column, value: Column, f: Callable[[str, Column], Column], kinds: Sequence[str]) -> Column:
@@ -44,23 +51,23 @@ def decide(expected: Column, unknown: Column, source: Column, target: Column, ta
 
 
 def unfold(pairs: DataFrame, mapping: Mapping, fields: Sequence[Field], extra: Callable[[Field], tuple[str | None, str | None]]) -> DataFrame:
-    """pairs x fields x readings: keys, field, kind, rule, reading, active, raw sources s1..s3, x1, x2 and raw target.
+    """pairs x fields x readings: keys, field, kind, rule, reading, active, raw sources s1, s2 ..., x1, x2 and raw target.
 
     Stated as one SQL expression, which the analyser takes in one go.
     """
     text = lambda c: f"cast(`{c}` as string)" if c else "cast(null as string)"
     quoted = lambda v: "cast(null as string)" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    items = []
+    items, names = [], _raw(max([len(_RAW), *[len(f.sources) for f in fields]]))
     for f in fields:
         i = mapping.interpretations.get(f.interpretation) if f.interpretation else None
         for choice in (i.choice, *i.alternatives) if i else (None,):
-            s = [A + c for c in f.sources[:3]] + [None] * (3 - len(f.sources[:3]))
+            s = [A + c for c in f.sources] + [None] * (len(names) - len(f.sources))
             if f.rule.startswith("situation") and i:
                 s[0] = A + choice if choice in ("CodeSuspensionAccès", "CodeStatutEmploi") else choice
             x1, x2 = extra(f)
             cells = {
                 "target_field": quoted(f.target), "kind": quoted(f.kind), "rule": quoted(f.rule), "criticality": str(f.criticality), "reading": quoted(choice), "active": str(not i or choice == i.choice).lower(),
-                **{n: text(c) for n, c in zip(_RAW, s)}, "x1": text(x1), "x2": text(x2), "target_raw": text(B + f.target),
+                **{n: text(c) for n, c in zip(names, s)}, "x1": text(x1), "x2": text(x2), "target_raw": text(B + f.target),
                 "pad": f"cast({f.params['pad'] if 'pad' in f.params else 'null'} as int)", "separator": quoted(f.params.get("separator")),
             }
             items.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in cells.items()) + ")")
@@ -184,7 +191,7 @@ def rule_decision_table(rows: DataFrame, mapping: Mapping, f: Field) -> DataFram
     for row in reversed(mapping.tables[f.params["table"]]):
         tests = []
         for column, want in row["when"].items():
-            raw = F.col(_RAW[f.sources.index(column)])
+            raw = F.col(_raw(len(f.sources))[f.sources.index(column)])
             tests.append(K.boolean(raw) == want if isinstance(want, bool) else K.code(raw) == str(want))
         out = F.when(reduce(lambda p, q: p & q, [F.coalesce(t, F.lit(False)) for t in tests]), F.lit(str(row["value"]))).otherwise(out)
     rows = rows.withColumn("_v", out)
@@ -212,7 +219,11 @@ def rule_interval(rows: DataFrame) -> DataFrame:
 def evaluate(pairs: DataFrame, mapping: Mapping) -> DataFrame:
     """One row per pair, field and reading (active and alternatives). `pairs` holds matched pairs: person_id,
     assignment_key, l, r, a_<source columns>, b_<target columns>, unit_start, unit_end, history_note, lookup_reason,
-    codes_disagree, and CodeGestionAccès as the lookup gives it."""
+    codes_disagree, and CodeGestionAccès as the lookup gives it.
+
+    The pairs are placed by `l` before they are unfolded, so that what is folded per pair and field afterwards is together
+    already and only pairs are shuffled, not findings."""
+    pairs = pairs.repartition("l")
     groups: dict[str, list[Field]] = {}
     for f in mapping.fields:
         family = "situation" if f.rule.startswith("situation") else "interval" if f.rule.startswith("interval") else f.rule
@@ -255,26 +266,37 @@ def evaluate(pairs: DataFrame, mapping: Mapping) -> DataFrame:
 
 def findings(evaluated: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """Active readings with their alternatives folded in: `alternatives` maps a reading to its verdict; a verdict that
-    another reading changes has at most medium confidence. `missing` rows (pseudo-field `affectation`) are added."""
+    another reading changes has at most medium confidence; `rule_params` holds the active reading and what each other one
+    gives. `missing` rows (pseudo-field `affectation`) are added."""
     # all readings of one field of one pair share a key, so the window never holds more than a handful of rows
     w = Window.partitionBy("l", "r", "target_field")
-    other = F.filter(F.collect_list(F.when(~F.col("active"), F.struct("reading", "verdict"))).over(w), lambda x: x.isNotNull())
-    x = evaluated.withColumn("_alt", other).where("active")
-    x = x.withColumn("alternatives", F.map_from_entries(F.array_sort("_alt")))
+    other = F.filter(F.collect_list(F.when(~F.col("active"), F.struct("reading", "verdict", "expected"))).over(w), lambda x: x.isNotNull())
+    x = evaluated.withColumn("_alt", F.array_sort(other)).where("active")
+    x = x.withColumn("alternatives", F.map_from_entries(F.transform("_alt", lambda a: F.struct(a["reading"], a["verdict"]))))
+    told = F.transform("_alt", lambda a: F.struct(F.concat(F.lit("alternative["), a["reading"], F.lit("]")).alias("k"), F.concat(a["verdict"], F.lit(" (expected "), F.coalesce(a["expected"], F.lit("nothing")), F.lit(")")).alias("v")))
+    own = F.when(F.col("reading").isNotNull(), F.array(F.struct(F.lit("reading").alias("k"), F.col("reading").alias("v")))).otherwise(F.expr("cast(array() as array<struct<k:string,v:string>>)"))
+    x = x.withColumn("rule_params", F.map_from_entries(F.concat(own, told)))
     differs = F.exists("_alt", lambda a: a["verdict"] != F.col("verdict"))
     x = x.withColumn("confidence", F.when(differs & (F.col("confidence") == "ELEVEE"), "MOYENNE").otherwise(F.col("confidence"))).drop("_alt", "active")
     x = x.withColumn("finding_id", F.concat_ws(":", "person_id", "assignment_key", "target_field"))
     return x if missing is None else x.unionByName(missing, allowMissingColumns=True)
 
 
+def summary(columns: Sequence[str]) -> Column:
+    """`name=value, ...` of the columns that hold something."""
+    return F.concat_ws(", ", *[F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(c.removeprefix(A).removeprefix(B) + "="), F.col(c))) for c in columns])
+
+
 def missing_findings(pairs: DataFrame, mapping: Mapping) -> DataFrame:
-    """A finding per row without partner, on the pseudo-field `affectation`."""
+    """A finding per row without partner, on the pseudo-field `affectation`. `shown`, if there, is what its system holds."""
     s = lambda v: F.lit(v).cast("string")
-    crit = F.when(F.col("method") == "MISSING_IN_TARGET", mapping.missing_in_target).otherwise(mapping.missing_in_source)
+    in_target = F.col("method") == "MISSING_IN_TARGET"
+    crit = F.when(in_target, mapping.missing_in_target).otherwise(mapping.missing_in_source)
+    held = F.col("shown") if "shown" in pairs.columns else s(None)
     return pairs.where(F.col("method").isin("MISSING_IN_TARGET", "MISSING_IN_SOURCE")).select(
         "person_id", "assignment_key", "l", "r", s("affectation").alias("target_field"), s("text").alias("kind"), s("missing").alias("rule"), crit.alias("criticality"), s(None).alias("reading"),
-        s(None).alias("source_raw"), s(None).alias("target_raw"), s(None).alias("expected"), s(None).alias("target_norm"), s("ANOMALIE").alias("verdict"), F.lower("method").alias("subcategory"), s("ELEVEE").alias("confidence"),
-        F.expr("cast(map() as map<string,string>)").alias("alternatives"), F.concat_ws(":", "person_id", "assignment_key", s("affectation")).alias("finding_id"),
+        F.when(in_target, held).alias("source_raw"), F.when(~in_target, held).alias("target_raw"), s(None).alias("expected"), s(None).alias("target_norm"), s("ANOMALIE").alias("verdict"), F.lower("method").alias("subcategory"), s("ELEVEE").alias("confidence"),
+        F.expr("cast(map() as map<string,string>)").alias("alternatives"), F.create_map(s("method"), F.col("method")).alias("rule_params"), F.concat_ws(":", "person_id", "assignment_key", s("affectation")).alias("finding_id"),
     )
 
 

@@ -15,64 +15,99 @@ from concordat.plans.general import latest, sql_code, sql_date, sql_effective
 from concordat.session import materialize, table
 
 MAPPING = load()
+#: Columns that name or date a row and say nothing of the assignment.
+TECHNICAL = ("row_id", "detail_id", "charge_le", "saisi_le")
 
 
 # ---------------------------------------------------------------- the two systems
-def side(spark: SparkSession, d: str, system: str, keyless: bool = False) -> DataFrame:
-    """Latest row per person and type with its raw columns, person_id, assignment_type and id. keyless: rows without
-    type (one a person) and without person (all of them) too, which no other row can be told to repeat."""
+Tables = str | dict[str, DataFrame]
+
+
+def flag_type(primary: Column, temporary: Column, mapping: Mapping = MAPPING) -> Column:
+    """The type letter of a pair of flags; NULL where a flag is unreadable or the mapping knows no such pair."""
+    out = F.lit(None).cast("string")
+    for letter, flags in mapping.tables["flags"].items():
+        out = F.when((primary == flags["isPrimaryAssignment"]) & (temporary == flags["isTemporaryAssignment"]), letter).otherwise(out)
+    return out
+
+
+def typed(spark: SparkSession, d: Tables, system: str, mapping: Mapping = MAPPING) -> DataFrame:
+    """All rows of a system with person_id and assignment_type (NULL where unknown)."""
     if system == "A":
-        t = table(spark, d, "rh_source")
-        kind, person = F.upper(K.present(F.col("TypeAffectation"))), "Matricule"
+        t, person = table(spark, d, "rh_source"), "Matricule"
+        kind = F.upper(K.present(F.col("TypeAffectation")))
     else:
-        t = table(spark, d, "temps_target")
-        p, q = K.boolean(F.col("isPrimaryAssignment")), K.boolean(F.col("isTemporaryAssignment"))
-        kind, person = F.when(p, "P").when(q, "A").otherwise("S"), "personId"
-    rows, key = t.withColumns({"person_id": K.code(F.col(person)), "assignment_type": kind}), ["person_id", "assignment_type"]
+        t, person = table(spark, d, "temps_target"), "personId"
+        kind = flag_type(K.boolean(F.col("isPrimaryAssignment")), K.boolean(F.col("isTemporaryAssignment")), mapping)
+    return t.withColumns({"person_id": K.code(F.col(person)), "assignment_type": kind})
+
+
+def side(spark: SparkSession, d: Tables, system: str, keyless: bool = False, mapping: Mapping = MAPPING) -> DataFrame:
+    """Latest row per person and type with its raw columns, person_id, assignment_type and row_id. keyless: rows without
+    type (one a person) and without person (all of them) too, which no other row can be told to repeat. Tables without
+    `charge_le` hold no deliveries: all of their rows count."""
+    rows, key = typed(spark, d, system, mapping), ["person_id", "assignment_type"]
+    if "charge_le" not in rows.columns:
+        return rows if keyless else rows.where("person_id is not null and assignment_type is not null")
     if not keyless:
         return latest(rows.where("person_id is not null and assignment_type is not null"), key, ["charge_le", "row_id"])
     return latest(rows.where("person_id is not null"), key, ["charge_le", "row_id"]).unionByName(rows.where("person_id is null"))
 
 
-def similarity_values(system: str) -> list[Column]:
+def similarity_values(system: str, mapping: Mapping = MAPPING) -> list[Column]:
     """The fields that pairs are scored by, as comparable text v0, v1 ..."""
-    return [K.comparable(x.kind, F.col(x.source if system == "A" else x.target)).alias(f"v{i}") for i, x in enumerate(MAPPING.similarity)]
+    return [K.comparable(x.kind, F.col(x.source if system == "A" else x.target)).alias(f"v{i}") for i, x in enumerate(mapping.similarity)]
 
 
-def matched(spark: SparkSession, d: str) -> DataFrame:
+def matched(spark: SparkSession, d: Tables, mapping: Mapping = MAPPING) -> DataFrame:
     """(l, r, score, method) over both systems' assignments: same person and type, then across types, then those that
     one system only holds."""
-    sides = [materialize(side(spark, d, x, True).select(F.col("row_id").alias("id"), F.col("person_id").alias("person"), F.col("assignment_type").alias("kind"), *similarity_values(x)), "side") for x in "AB"]
-    return materialize(matching.match_assignments(*sides, "person", "kind", [f"v{i}" for i in range(len(MAPPING.similarity))], MAPPING.cross_type_least), "matched")
+    sides = [materialize(side(spark, d, x, True, mapping).select(F.col("row_id").alias("id"), F.col("person_id").alias("person"), F.col("assignment_type").alias("kind"), *similarity_values(x, mapping)), "side") for x in "AB"]
+    return materialize(matching.match_assignments(*sides, "person", "kind", [f"v{i}" for i in range(len(mapping.similarity))], mapping.cross_type_least), "matched")
+
+
+#: What a finding on a missing assignment shows of the row.
+SHOWN_A = ("TypeAffectation", "CodePoste", "CodeEmploi", "CodeDirection", "DateEntréePoste")
+SHOWN_B = ("positionId", "divisionId", "assignmentStartDate", "isPrimaryAssignment", "isTemporaryAssignment")
 
 
-def unmatched(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
-    """The assignments that `pairs` (of matched) leaves to one system: l or r, method, person_id, assignment_type and key."""
-    key = lambda *c: F.concat_ws(":", F.coalesce("assignment_type", F.lit("?")), *c)
-    a = side(spark, d, "A", True).select(F.col("row_id").alias("l"), "person_id", "assignment_type", key(F.coalesce(K.code(F.col("CodePoste")), F.col("row_id").cast("string"))).alias("assignment_key"))
-    b = side(spark, d, "B", True).select(F.col("row_id").alias("r"), "person_id", "assignment_type", key(F.concat(F.lit("target-"), F.col("row_id"))).alias("assignment_key"))
-    columns = ["l", "r", "method", "person_id", "assignment_type", "assignment_key"]
-    return pairs.where("r is null").join(a, "l").select(*columns).unionByName(pairs.where("l is null").join(b, "r").select(*columns))
+def keyed(spark: SparkSession, d: Tables, system: str, mapping: Mapping = MAPPING, columns: Sequence[str] = ()) -> DataFrame:
+    """(id, person_id, assignment_type, assignment_key, columns) of a system's assignments."""
+    own = F.coalesce(K.code(F.col("CodePoste")), F.col("row_id").cast("string")) if system == "A" else F.concat(F.lit("target-"), F.col("row_id"))
+    key = F.concat_ws(":", F.coalesce("assignment_type", F.lit("?")), own)
+    return side(spark, d, system, True, mapping).select(F.col("row_id").alias("id"), "person_id", "assignment_type", key.alias("assignment_key"), *columns)
 
 
-def position_history(spark: SparkSession, d: str) -> DataFrame:
+def unmatched(spark: SparkSession, d: Tables, pairs: DataFrame, mapping: Mapping = MAPPING) -> DataFrame:
+    """The assignments that `pairs` (of matched) leaves to one system: l or r, method, person_id, assignment_type, key and
+    what is shown of them."""
+    columns = ["l", "r", "method", "person_id", "assignment_type", "assignment_key", "shown"]
+    out = None
+    for system, own, other, shown in (("A", "l", "r", SHOWN_A), ("B", "r", "l", SHOWN_B)):
+        rows = keyed(spark, d, system, mapping, shown).withColumn("shown", verdicts.summary(shown)).withColumnRenamed("id", own)
+        x = pairs.where(F.col(other).isNull()).join(rows, own).select(*columns)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def position_history(spark: SparkSession, d: Tables) -> DataFrame:
     """Records with readable position and date; the unit may be NULL."""
     t = table(spark, d, "poste_detail")
     return t.select(K.code(F.col("IdentifiantPoste")).alias("poste"), K.effective_date(F.col("DateEffetAffectation")).alias("effective"), K.code(F.col("CodeDirectionAffectée")).alias("unit"), "detail_id").where("poste is not null and effective is not null")
 
 
-def reasons(spark: SparkSession, d: str) -> DataFrame:
+def reasons(spark: SparkSession, d: Tables) -> DataFrame:
     """Lookup by normalised code, one row a code (the last by its raw text)."""
     m = table(spark, d, "motifs").select(K.code(F.col("CodeCatégorieStatut")).alias("reason"), F.col("CodeStatutSystèmeExterne").alias("lookup_reason"), F.col("CodeGestionAccès"), F.col("CodeCatégorieStatut").alias("_o"))
     return m.where("reason is not null").groupBy("reason").agg(F.max_by(F.struct("lookup_reason", "CodeGestionAccès"), "_o").alias("x")).select("reason", "x.*")
 
 
-def joined(spark: SparkSession, d: str, columns_a: Sequence[str], columns_b: Sequence[str], dates: bool = False, lookup: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+def joined(spark: SparkSession, d: Tables, columns_a: Sequence[str], columns_b: Sequence[str], dates: bool = False, lookup: bool = False, pairs: DataFrame | None = None, mapping: Mapping = MAPPING) -> DataFrame:
     """Pairs of equal person and type, or those of `pairs` (of matched), with the columns asked for, so scans read no
     others. A pair across types goes by the type of system A."""
     keyless = pairs is not None
-    a = side(spark, d, "A", keyless).select("person_id", "assignment_type", F.col("row_id").alias("l"), K.code(F.col("CodePoste")).alias("history_key"), K.code(F.col("CodeDirection")).alias("history_unit"), K.code(F.col("CodeRaisonStatut")).alias("reason"), *[F.col(c).alias("a_" + c) for c in dict.fromkeys(columns_a)])
-    b = side(spark, d, "B", keyless).select("person_id", "assignment_type", F.col("row_id").alias("r"), *[F.col(c).alias("b_" + c) for c in dict.fromkeys(columns_b)])
+    a = side(spark, d, "A", keyless, mapping).select("person_id", "assignment_type", F.col("row_id").alias("l"), K.code(F.col("CodePoste")).alias("history_key"), K.code(F.col("CodeDirection")).alias("history_unit"), K.code(F.col("CodeRaisonStatut")).alias("reason"), *[F.col(c).alias("a_" + c) for c in dict.fromkeys(columns_a)])
+    b = side(spark, d, "B", keyless, mapping).select("person_id", "assignment_type", F.col("row_id").alias("r"), *[F.col(c).alias("b_" + c) for c in dict.fromkeys(columns_b)])
     p = a.join(b, ["person_id", "assignment_type"]) if pairs is None else pairs.where("l is not null and r is not null").select("l", "r").join(a, "l").join(b.drop("person_id", "assignment_type"), "r")
     p = p.withColumn("assignment_key", F.concat_ws(":", F.coalesce("assignment_type", F.lit("?")), F.coalesce("history_key", "l")))
     if dates:
@@ -84,24 +119,20 @@ def joined(spark: SparkSession, d: str, columns_a: Sequence[str], columns_b: Seq
     return p
 
 
-def only(mapping: Mapping, fields: Sequence[Field]) -> Mapping:
-    return Mapping(mapping.interpretations, tuple(fields), mapping.tables, mapping.similarity, mapping.cross_type_least, mapping.missing_in_target, mapping.missing_in_source, mapping.hypotheses, mapping.scoring)
-
-
-def pairs_for(spark: SparkSession, d: str, fields: Sequence[Field], all_columns: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+def pairs_for(spark: SparkSession, d: Tables, fields: Sequence[Field], all_columns: bool = False, pairs: DataFrame | None = None, mapping: Mapping = MAPPING) -> DataFrame:
     situation = any(f.rule.startswith("situation") for f in fields)
     dated = any(f.rule.startswith("interval") for f in fields)
     a = [c for f in fields for c in f.sources] + (["CodeSuspensionAccès", "CodeStatutEmploi"] if situation else [])
     if all_columns:
-        a = [c for c in table(spark, d, "rh_source").columns if c not in ("row_id", "charge_le")]
-    return joined(spark, d, a, [f.target for f in fields], dated, situation, pairs)
+        a = [c for c in table(spark, d, "rh_source").columns if c not in TECHNICAL]
+    return joined(spark, d, a, [f.target for f in fields], dated, situation, pairs, mapping)
 
 
-def evaluated(spark: SparkSession, d: str, fields: Sequence[Field]) -> DataFrame:
+def evaluated(spark: SparkSession, d: Tables, fields: Sequence[Field]) -> DataFrame:
     pairs = pairs_for(spark, d, fields)
     if len({f.rule.split("_")[0] for f in fields}) > 1:
         pairs = materialize(pairs, "pairs")
-    return verdicts.evaluate(pairs, only(MAPPING, fields))
+    return verdicts.evaluate(pairs, MAPPING.only(fields))
 
 
 ROW = ["person_id", "assignment_key", "target_field", "reading", "expected", "target_norm", "verdict"]
@@ -200,15 +231,8 @@ def similarity_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def assignment_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All rows of both systems, deliveries included: same person and type first, then across types."""
-    s = MAPPING.similarity
-    sides = []
-    for system in "AB":
-        src = system == "A"
-        t = table(spark, d, "rh_source" if src else "temps_target")
-        kind = F.upper(K.present(F.col("TypeAffectation"))) if src else F.when(K.boolean(F.col("isPrimaryAssignment")), "P").when(K.boolean(F.col("isTemporaryAssignment")), "A").otherwise("S")
-        values = [K.comparable(x.kind, F.col(x.source if src else x.target)).alias(f"v{i}") for i, x in enumerate(s)]
-        sides.append(materialize(t.select(F.col("row_id").alias("id"), K.code(F.col("Matricule" if src else "personId")).alias("person"), kind.alias("kind"), *values), "side"))
-    return matching.match_assignments(*sides, "person", "kind", [f"v{i}" for i in range(len(s))], MAPPING.cross_type_least)
+    sides = [materialize(typed(spark, d, x).select(F.col("row_id").alias("id"), F.col("person_id").alias("person"), F.col("assignment_type").alias("kind"), *similarity_values(x)), "side") for x in "AB"]
+    return matching.match_assignments(*sides, "person", "kind", [f"v{i}" for i in range(len(MAPPING.similarity))], MAPPING.cross_type_least)
 
 
 def assignment_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +255,7 @@ def unit_intervals(spark: SparkSession, d: str) -> DataFrame:
 def _investigated_dates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     fields = FAMILIES["verdict_assignment_dates"]
     pairs = materialize(pairs_for(spark, d, fields), "pairs")
-    return verdicts.findings(verdicts.evaluate(pairs, only(MAPPING, fields))), pairs
+    return verdicts.findings(verdicts.evaluate(pairs, MAPPING.only(fields))), pairs
 
 
 def hyp_history_record(spark: SparkSession, d: str) -> DataFrame:
@@ -249,16 +273,12 @@ def alt_source_support(spark: SparkSession, d: str) -> DataFrame:
     alt_source_all takes all columns and fields."""
     fields = FAMILIES["verdict_direct_code"]
     pairs = materialize(pairs_for(spark, d, fields, all_columns=True), "pairs")
-    f = verdicts.findings(verdicts.evaluate(pairs, only(MAPPING, fields)))
+    f = verdicts.findings(verdicts.evaluate(pairs, MAPPING.only(fields)))
     columns = ["CodeEmploi", "CodeDirection", "CodeImputation", "CodeSite", "ÉchelleSalariale", "CodePoste", "CodeStatutEmploi", "CodeQuart"]
-    return hypotheses.alternative_sources(f, pairs, only(MAPPING, fields), columns)
-
-
-#: Columns that name or date a row and say nothing of the assignment.
-TECHNICAL = ("row_id", "detail_id", "charge_le")
+    return hypotheses.alternative_sources(f, pairs, MAPPING.only(fields), columns)
 
 
-def with_origins(spark: SparkSession, d: str, pairs: DataFrame) -> tuple[DataFrame, list[str]]:
+def with_origins(spark: SparkSession, d: Tables, pairs: DataFrame, mapping: Mapping = MAPPING) -> tuple[DataFrame, list[str]]:
     """pairs (with all columns of system A) with those of the position's latest record and of the reason's lookup row, and
     the names of all columns that another origin is looked for in."""
     h, m = table(spark, d, "poste_detail"), table(spark, d, "motifs")
@@ -270,7 +290,7 @@ def with_origins(spark: SparkSession, d: str, pairs: DataFrame) -> tuple[DataFra
     rows = rows.select("reason", *[F.col("x")[c].cast("string").alias(f"a_motifs:{c}") for c in cm])
     own = [c for c in table(spark, d, "rh_source").columns if c not in TECHNICAL]
     columns = [*own, *[f"poste_detail:{c}" for c in ch], *[f"motifs:{c}" for c in cm]]
-    excluded = MAPPING.hypotheses["excluded_columns"]
+    excluded = mapping.hypotheses["excluded_columns"]
     return pairs.join(last, "history_key", "left").join(F.broadcast(rows), "reason", "left"), [c for c in columns if c.split(":")[-1] not in excluded]  # a fixed table of 60 rows
 
 
@@ -318,9 +338,10 @@ def _bad(kind: str, c: str) -> str:
     return "false" if kind in ("code", "text") else f"({sql_code(c)} is not null and {_SQL_KIND[kind](c)} is null)"
 
 
+_SQL_FLAGS = f"case when {sql_bool('isPrimaryAssignment')} = 'true' and {sql_bool('isTemporaryAssignment')} = 'false' then 'P' when {sql_bool('isPrimaryAssignment')} = 'false' and {sql_bool('isTemporaryAssignment')} = 'true' then 'A' when {sql_bool('isPrimaryAssignment')} = 'false' and {sql_bool('isTemporaryAssignment')} = 'false' then 'S' end"
 _SIDE = {
     "A": f"(select * from (select *, {sql_code('Matricule')} person_id, upper({sql_text('TypeAffectation')}) assignment_type from rh_source) where person_id is not null and assignment_type is not null qualify row_number() over (partition by person_id, assignment_type order by charge_le desc, row_id desc) = 1)",
-    "B": f"(select * from (select *, {sql_code('personId')} person_id, case when {sql_bool('isPrimaryAssignment')} = 'true' then 'P' when {sql_bool('isTemporaryAssignment')} = 'true' then 'A' else 'S' end assignment_type from temps_target) where person_id is not null qualify row_number() over (partition by person_id, assignment_type order by charge_le desc, row_id desc) = 1)",
+    "B": f"(select * from (select *, {sql_code('personId')} person_id, {_SQL_FLAGS} assignment_type from temps_target) where person_id is not null and assignment_type is not null qualify row_number() over (partition by person_id, assignment_type order by charge_le desc, row_id desc) = 1)",
 }
 _HISTORY = f"""hist as (select * from (select {sql_code('IdentifiantPoste')} poste, {sql_effective('DateEffetAffectation')} eff, {sql_code('"CodeDirectionAffectée"')} unit, detail_id from poste_detail) where poste is not null and eff is not null),
  starts as (select poste, unit, eff, detail_id from (select *, row_number() over w rn, lag(unit) over w before from hist window w as (partition by poste order by eff, detail_id)) where rn = 1 or unit is distinct from before),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests, laptops).
+#: Used only on a local master that names no checkpoint folder (tests, laptops).
 LOCAL_CHECKPOINT_DIR = "/tmp/concordat-checkpoints"
 
 
@@ -25,6 +26,7 @@ def local_session(app: str = "concordat", cpus: str | int = 8, partitions: int =
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -52,12 +54,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else a local one that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(found or LOCAL_CHECKPOINT_DIR)
-    return found or LOCAL_CHECKPOINT_DIR
+    """The folder all executors share: spark.checkpoint.dir, else the one set by setCheckpointDir. Only a local master, all
+    of whose tasks see the local disk, gets a local folder by default; elsewhere a missing one is an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if not found and current.isDefined():
+        return current.get()
+    if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    found = found or LOCAL_CHECKPOINT_DIR
+    if not current.isDefined():
+        sc.setCheckpointDir(found)
+    return found
 
 
 _written: list[str] = []
@@ -91,8 +100,9 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, tables: str | dict[str, DataFrame], name: str) -> DataFrame:
+    """A table of a folder of Parquet tables, or of tables in hand."""
+    return spark.read.parquet(f"{tables}/{name}.parquet") if isinstance(tables, str) else tables[name]
 
 
 def spread(df: DataFrame) -> DataFrame:
