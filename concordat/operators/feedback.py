@@ -264,7 +264,7 @@ def apply_rules(findings: DataFrame, rules: Sequence[ExpertRule]) -> DataFrame:
         hit = F.when(condition(r), F.lit(r.id)).otherwise(hit)
     x = findings.withColumn("expert_rule", hit).withColumn("initial_verdict", F.when(hit.isNotNull(), F.col("verdict")))
     changed = F.col("expert_rule").isNotNull()
-    return x.withColumns({"verdict": F.when(changed, "JUSTIFIE").otherwise(F.col("verdict")), "confidence": F.when(changed, "ELEVEE").otherwise(F.col("confidence")), "decision_source": F.when(changed, "EXPERT").otherwise("RULE")})
+    return x.withColumns({"verdict": F.when(changed, "JUSTIFIE").otherwise(F.col("verdict")), "confidence": F.when(changed, "ELEVEE").otherwise(F.col("confidence")), "decision_source": F.when(changed, "EXPERT").otherwise("REGLE")})
 
 
 def apply_corrections(findings: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -275,7 +275,8 @@ def apply_corrections(findings: DataFrame, corrections: DataFrame) -> DataFrame:
     state = F.when(F.col("new_verdict").isNull(), None).when(same, "applied").otherwise("stale")
     x = x.withColumn("correction", state)
     ok = F.col("correction") == "applied"
-    return x.withColumns({"verdict": F.when(ok, F.col("new_verdict")).otherwise(F.col("verdict")), "confidence": F.when(ok, "ELEVEE").otherwise(F.col("confidence"))}).drop("new_verdict", "c_expected", "c_target_raw")
+    source = {"decision_source": F.when(ok, "EXPERT").otherwise(F.col("decision_source"))} if "decision_source" in findings.columns else {}
+    return x.withColumns({"verdict": F.when(ok, F.col("new_verdict")).otherwise(F.col("verdict")), "confidence": F.when(ok, "ELEVEE").otherwise(F.col("confidence")), **source}).drop("new_verdict", "c_expected", "c_target_raw")
 
 
 def missing_corrections(findings: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.operators.ranks import ranked
+
 # Patterns of e-mail addresses and of long numbers.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 LONG_NUMBER = r"(?<![\p{L}\p{N}_])[0-9]{7,}(?![\p{L}\p{N}_])"
@@ -24,23 +26,11 @@ def leaks(c: Column) -> Column:
 
 
 def tokens(ids: DataFrame, column: str, prefix: str = "EMP") -> DataFrame:
-    """(column, token): EMP-01, EMP-02 ... by sorted distinct id; numbers above 99 take the digits they need.
-
-    Ranks come from per-range counts, so no single task sorts all ids.
-    """
-    spark = ids.sparkSession
-    d = ids.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("_p", F.spark_partition_id())
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
-    from concordat.session import materialize
-
-    d = materialize(d, "tokens")
-    before, offsets = 0, []
-    for r in d.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).orderBy("_p").collect():  # one row a partition
-        offsets.append((r["_p"], before))
-        before += r["c"]
-    o = spark.createDataFrame(offsets, "_p int, _o long") if offsets else spark.createDataFrame([], "_p int, _o long")
-    rank = (F.col("_n") + F.col("_o")).cast("string")
-    return d.join(F.broadcast(o), "_p").select(column, F.concat(F.lit(prefix + "-"), F.when(F.length(rank) >= 2, rank).otherwise(F.lpad(rank, 2, "0"))).alias("token"))
+    """(column, token): EMP-01, EMP-02 ... by sorted distinct id; numbers above 99 take the digits they need. NULL has no
+    token. Ranks come from per-range counts, so no single task sorts all ids."""
+    d = ranked(ids.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_all", F.lit(0)), ["_all"], [column], "_n")
+    rank = F.col("_n").cast("string")
+    return d.select(column, F.concat(F.lit(prefix + "-"), F.when(F.length(rank) >= 2, rank).otherwise(F.lpad(rank, 2, "0"))).alias("token"))
 
 
 def pseudonymize(texts: DataFrame, id_column: str, text_column: str, dictionary: DataFrame, key: str) -> DataFrame:
@@ -100,9 +90,3 @@ def dossiers(findings: DataFrame, least_priority: float = 30.0) -> DataFrame:
     x = x.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("target_field", "expected", "target_raw", "verdict", "priority", "probable_cause"))).alias("f"), F.max("priority").alias("max_priority"))
     payload = F.replace(F.replace(F.to_json(F.struct(F.col("f").alias("findings"))), F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e"))
     return x.select("person_id", F.size("f").alias("n_findings"), "max_priority", payload.alias("payload"))
-
-
-def template_text(findings: DataFrame) -> DataFrame:
-    """A deterministic explanation of each finding."""
-    t = F.format_string("%s: expected %s, found %s (%s).", F.col("target_field"), F.coalesce("expected", F.lit("(empty)")), F.coalesce("target_raw", F.lit("(empty)")), F.coalesce("probable_cause", F.lit("no verified cause")))
-    return findings.withColumns({"explanation": t, "explanation_source": F.lit("template")})

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-import shutil
+import re
+from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordat.config import Mapping
+from concordat.functions import kinds as K
 from concordat.operators.hypotheses import report_order
 
 
@@ -18,15 +21,120 @@ def shown(c: Column, incalculable: Column | None = None) -> Column:
     return x if incalculable is None else F.when(incalculable, "(incalculable)").otherwise(x)
 
 
+def repair_note(raw: Column) -> Column:
+    """Says that a text was repaired before it was compared; NULL otherwise."""
+    x = K.clean_text(raw)
+    fixed = K.let(x, K.repair_encoding)
+    return F.when(fixed != x, F.concat(F.lit("encoding repaired: « "), x, F.lit(" » read as « "), fixed, F.lit(" »")))
+
+
+def explained(findings: DataFrame, mapping: Mapping) -> DataFrame:
+    """findings with what they rest on: source_fields, rule_id, rule_ref (of the field), decision_source, justification and
+    evidence (the rows of both systems)."""
+    spark = findings.sparkSession
+    rows = [(f.target, list(f.sources), f.id, f.ref) for f in mapping.fields] + [("affectation", [], "R-MATCH", "")]
+    per_field = spark.createDataFrame(rows, "target_field string, source_fields array<string>, rule_id string, rule_ref string")
+    x = findings.join(F.broadcast(per_field), "target_field", "left")  # one row a field
+    found = shown(F.col("target_raw"))
+    said = (
+        F.when(F.col("rule") == "missing", F.concat(F.when(F.col("r").isNull(), "held by the first system only: ").otherwise("held by the second system only: "), F.coalesce("source_raw", "target_raw", F.lit(""))))
+        .when(F.col("verdict") == "CONFORME", F.concat(F.lit("equal to the source: "), found))
+        .when(F.col("verdict") == "JUSTIFIE", F.concat(F.lit("as the rule expects: "), found))
+        .when(F.col("verdict") == "ANOMALIE", F.concat(F.lit("expected "), shown(F.col("expected")), F.lit(", found "), found))
+        .otherwise(F.concat(F.lit("can't be decided: expected "), shown(F.col("expected"), F.col("expected").isNull()), F.lit(", found "), found))
+    )
+    text = F.col("kind").isin("text", "text_loose")
+    notes = [F.when(text, repair_note(F.col("target_raw"))), F.when(F.col("subcategory").isNotNull(), F.col("subcategory"))]
+    cell = lambda t, c, v: F.when(F.col(c).isNotNull(), F.struct(F.concat(F.lit(f"{t[:3]}:"), F.col(c)).alias("id"), F.lit(t).alias("tbl"), F.col(c).alias("row_id"), F.create_map(F.lit("value"), F.col(v)).alias("vals"), F.lit(None).cast("string").alias("note")))
+    evidence = F.array_compact(F.array(cell("source", "l", "source_raw"), cell("target", "r", "target_raw")))
+    return x.withColumns({"decision_source": F.lit("REGLE"), "justification": F.concat_ws("; ", said, *notes), "evidence": evidence})
+
+
+def told(findings: DataFrame) -> DataFrame:
+    """findings with a deterministic explanation of those to investigate."""
+    t = F.format_string("%s: expected %s, found %s (%s).", F.col("target_field"), F.coalesce("expected", F.lit("(empty)")), F.coalesce("target_raw", F.lit("(empty)")), F.coalesce("probable_cause", F.lit("no verified cause")))
+    here = F.col("verdict").isin("ANOMALIE", "INDETERMINE")
+    return findings.withColumns({"explanation": F.when(here, t), "explanation_source": F.when(here, "template")})
+
+
+# The columns of the flat record, in their order.
+RECORD = [
+    "finding_id", "person_id", "assignment_key", "target_field", "verdict", "subcategory", "criticality", "confidence", "source_raw", "expected", "target_raw", "justification",
+    "rule_id", "rule_ref", "rule_params", "source_fields", "evidence", "decision_source", "priority", "probable_cause", "hypotheses", "priority_breakdown", "explanation", "explanation_source",
+]
+
+
+def record(findings: DataFrame) -> DataFrame:
+    """The 24 columns of the flat record, all text, nothing as ''. Columns that findings lack are empty."""
+    as_text = {
+        "source_fields": lambda c: F.array_join(c, ", "),
+        "rule_params": lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", "),
+        "evidence": lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["id"], F.lit("@"), e["tbl"], F.lit(":"), e["row_id"])), " | "),
+        "hypotheses": lambda c: F.array_join(F.transform(c, lambda h: F.when(h == "H-SYSTEMIC", F.concat(h, F.lit("*"))).otherwise(h)), " | "),
+    }
+    cells = [(as_text[c](F.col(c)) if c in as_text else F.col(c).cast("string")) if c in findings.columns else F.lit("") for c in RECORD]
+    return findings.select(*[F.coalesce(x, F.lit("")).alias(c) for c, x in zip(RECORD, cells)])
+
+
 def flat_record(findings: DataFrame) -> DataFrame:
-    """Only scalar columns: hypotheses joined (a systemic one marked with *), alternatives as sorted key=value."""
+    """Every column of the findings as text: hypotheses joined (a systemic one marked with *), alternatives as sorted
+    key=value, other nested columns as JSON."""
     hyp = F.array_join(F.transform("hypotheses", lambda h: F.when(h == "H-SYSTEMIC", F.concat(h, F.lit("*"))).otherwise(h)), ", ")
     alt = F.array_join(F.transform(F.array_sort(F.map_entries("alternatives")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
     drop = {"hypotheses", "alternatives"}
-    text = lambda c, t: F.coalesce(F.date_format(c, "yyyy-MM-dd") if t == "date" else F.col(c).cast("string"), F.lit(""))
+
+    def text(c: str, t: str) -> Column:
+        x = F.date_format(c, "yyyy-MM-dd") if t == "date" else F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c).cast("string")
+        return F.coalesce(x, F.lit(""))
+
     return findings.select(*[text(c, t).alias(c) for c, t in findings.dtypes if c not in drop], hyp.alias("hypotheses"), F.coalesce(alt, F.lit("")).alias("alternatives"))
 
 
+def label(findings: DataFrame) -> Column:
+    """`[priority] person · field · verdict`."""
+    number = F.regexp_replace(F.col("priority").cast("string"), r"\.0$", "")
+    return F.concat(F.lit("["), F.coalesce(number, F.lit("—")), F.lit("] "), F.concat_ws(" · ", "person_id", "target_field", "verdict"))
+
+
+def selected(findings: DataFrame, verdicts: Sequence[str] = (), fields: Sequence[str] = (), persons: Sequence[str] = ()) -> DataFrame:
+    """Findings of the given verdicts, fields and persons; an empty choice takes all."""
+    out = findings
+    for column, values in (("verdict", verdicts), ("target_field", fields), ("person_id", persons)):
+        if values:
+            out = out.where(F.col(column).isin(list(values)))
+    return out
+
+
+def field_order(findings: DataFrame) -> DataFrame:
+    """(target_field, criticality, place): fields by highest criticality, then name. One row a field."""
+    per = findings.groupBy("target_field").agg(F.max(F.coalesce("criticality", F.lit(0))).alias("criticality"))
+    return per.withColumn("place", F.row_number().over(Window.orderBy(F.col("criticality").desc(), "target_field")))
+
+
+def pair_order() -> list[Column]:
+    """Pairs by person, then source row, then target row, missing ones last."""
+    return [F.col("person_id"), F.col("l").asc_nulls_last(), F.col("r").asc_nulls_last()]
+
+
+def reading_order() -> list[Column]:
+    """Readings by field, the active one first."""
+    return [F.col("target_field"), F.col("active").desc(), F.col("reading")]
+
+
+def problems(findings: DataFrame) -> DataFrame:
+    """(finding_id, l, r, problem): what must never be in findings: an unknown decision source, a justified verdict without
+    rule, no justification, evidence that stands twice."""
+    ids = F.transform("evidence", lambda e: e["id"])
+    checks = [
+        (~F.col("decision_source").isin("REGLE", "EXPERT"), "unknown decision source"),
+        ((F.col("verdict") == "JUSTIFIE") & F.coalesce(F.col("rule_id") == "", F.lit(True)), "justified without rule"),
+        (F.coalesce(F.col("justification") == "", F.lit(True)), "no justification"),
+        (F.size(F.array_except(ids, F.array_distinct(ids))) + F.size(ids) != F.size(F.array_distinct(ids)), "evidence stands twice"),
+    ]
+    found = F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
+    return findings.select("finding_id", "l", "r", F.explode(found).alias("problem"))
+
+
 def nested_json(findings: DataFrame) -> DataFrame:
     return findings.select("finding_id", F.to_json(F.struct(*findings.columns)).alias("json"))
 
@@ -56,19 +164,30 @@ def merge_evidence(evidence: DataFrame) -> DataFrame:
 
 
 def export_csv(findings: DataFrame, path: str | Path) -> str:
-    """One CSV file in report order: `;`, UTF-8 with byte order mark, NULL as nothing. The rows are sorted by Spark and
-    streamed through a single writer, since the product is one file."""
-    p, part = Path(path), Path(str(path) + ".parts")
-    flat = flat_record(findings.orderBy(*report_order()))
-    flat.coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).option("emptyValue", "").csv(str(part))
-    p.parent.mkdir(parents=True, exist_ok=True)
-    with open(p, "wb") as out:
-        out.write(b"\xef\xbb\xbf")
-        for f in sorted(part.glob("part-*.csv")):
-            with open(f, "rb") as src:
-                shutil.copyfileobj(src, out)
-    shutil.rmtree(part)
-    return os.fspath(p)
+    """One CSV file of the flat record in report order: `;`, UTF-8 with byte order mark, nothing as nothing. The rows are
+    sorted by Spark and written by one task, since the product is one file; it is put together through Hadoop's file
+    systems, so the path may lie on any of them."""
+    spark = findings.sparkSession
+    where = str(path) if re.match(r"[a-z][a-z0-9]+:", str(path)) else "file:" + os.path.abspath(path)
+    part = where + ".parts"
+    flat = record(findings.orderBy(*report_order()))
+    flat.coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).option("emptyValue", "").csv(part)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, parts = jvm.org.apache.hadoop.fs.Path(where), jvm.org.apache.hadoop.fs.Path(part)
+    fs = target.getFileSystem(conf)
+    out = fs.create(target, True)
+    try:
+        for b in (0xEF, 0xBB, 0xBF):
+            out.write(b)
+        for f in sorted(str(x.getPath()) for x in fs.listStatus(parts)):
+            if f.rsplit("/", 1)[-1].startswith("part-"):
+                src = fs.open(jvm.org.apache.hadoop.fs.Path(f))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(src, out, 1 << 20, False)
+                src.close()
+    finally:
+        out.close()
+    fs.delete(parts, True)
+    return os.fspath(path)
 
 
 def export_sheets(sheets: dict[str, DataFrame], folder: str) -> None:

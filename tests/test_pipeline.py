@@ -24,7 +24,7 @@ def tables(spark, sf, tmp_path):
     same = {"CodeEmploi": "1", "CodeDirection": "2", "CodeImputation": "3"}
     other = {"positionId": "1", "divisionId": "2", "divisionCode": "3"}
     a = [{"Matricule": "11", "TypeAffectation": "P", "CodePoste": "7"}, {"Matricule": "12", "TypeAffectation": "A", "CodePoste": "8", **same}, {"Matricule": "13", "TypeAffectation": "X", "CodePoste": "9"}]
-    b = [{"personId": "11", "isPrimaryAssignment": "true"}, {"personId": "12", "isPrimaryAssignment": "true", **other}, {"personId": "14", "isPrimaryAssignment": "true"}, {"personId": None, "isPrimaryAssignment": "true"}]
+    b = [{"personId": "11", "isPrimaryAssignment": "true", "isTemporaryAssignment": "false"}, {"personId": "12", "isPrimaryAssignment": "true", "isTemporaryAssignment": "false", **other}, {"personId": "14", "isPrimaryAssignment": "true", "isTemporaryAssignment": "false"}, {"personId": None, "isPrimaryAssignment": "true", "isTemporaryAssignment": "false"}]
     return write(spark, sf, tmp_path, a, b)
 
 
@@ -40,13 +40,16 @@ def test_run_reports_assignments_of_one_system(spark, tables, tmp_path):
     cli.run(spark, R.MAPPING, tables, str(tmp_path / "out"))
     rows = spark.read.parquet(str(next((tmp_path / "out").glob("findings*")))).where("target_field = 'affectation'").collect()
     assert len(rows) == 3 and all(r["priority"] is not None for r in rows)
+    assert {r["source_raw"] for r in rows if r["l"]} == {"TypeAffectation=X, CodePoste=9"} and all(r["rule_id"] == "R-MATCH" and r["decision_source"] == "REGLE" for r in rows)
+    written = (tmp_path / "out" / "verdicts.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert len(written) == 1 + 2 * 25 + 3 and len(written[0].split(";")) == 24
     assert [r["hypotheses"] for r in rows if r["l"] == 3] == [["H-TYPE-ABSENT"]]
 
 
 def test_other_origins_of_any_column_are_attached(spark, sf, tmp_path):
     # the target's hiring date is the assignment's start, a date that the direct rule doesn't look at
     a = [{"Matricule": str(i), "TypeAffectation": "P", "DateEmbaucheRécente": "2001-01-01", "DateEntréePoste": f"2010-01-0{i}"} for i in range(1, 8)]
-    b = [{"personId": str(i), "isPrimaryAssignment": "true", "onboardDate": f"2010-01-0{i}"} for i in range(1, 8)]
+    b = [{"personId": str(i), "isPrimaryAssignment": "true", "isTemporaryAssignment": "false", "onboardDate": f"2010-01-0{i}"} for i in range(1, 8)]
     d = write(spark, sf, tmp_path, a, b)
     cli.run(spark, R.MAPPING, d, str(tmp_path / "out"))
     rows = spark.read.parquet(str(tmp_path / "out" / "findings")).where("target_field = 'onboardDate'").collect()

@@ -30,5 +30,8 @@ def test_cli(spark, sf, tmp_path, capsys):
     assert cli.main(["--mapping", "/nowhere.yaml", "rules"]) == 2
     assert cli.main(["run", "--tables", sf, "--out", "x", "--choose", "dates=never"]) == 2
     counts = cli.run(spark, cli.config.load(), sf, str(tmp_path / "out"))
-    assert sum(counts.values()) % 25 == 0 and counts["CONFORME"] > 0
+    findings = spark.read.parquet(str(tmp_path / "out" / "findings"))
+    alone = findings.where("target_field = 'affectation'").count()
+    assert sum(counts.values()) == findings.count() == 25 * spark.read.parquet(str(tmp_path / "out" / "pairs")).where("l is not null and r is not null").count() + alone and counts["CONFORME"] > 0
+    assert spark.read.parquet(str(tmp_path / "out" / "pairs")).where("l is null or r is null").count() == alone
     assert (tmp_path / "out" / "to_investigate.csv").read_bytes().startswith(b"\xef\xbb\xbf")

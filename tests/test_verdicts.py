@@ -149,9 +149,31 @@ def test_swaps(spark):
     assert [(r["finding_a"], r["finding_b"]) for r in hypotheses.swaps(f).collect()] == [("1", "2")]
 
 
-def test_whole_swaps_go_on_past_pairs_of_one_person(spark):
-    f = frame(spark, [(1, "f", "X", "A", "B"), (2, "f", "Y", "A", "B"), (3, "f", "X", "B", "A"), (4, "f", "Z", "B", "A")])
-    assert len(hypotheses.whole_swaps(f).collect()) == 2 and len(hypotheses.swaps(f).collect()) == 1
+def test_swaps_go_on_past_pairs_of_one_person(spark):
+    def found(rows):
+        out = hypotheses.swaps(frame(spark, [(i, "f", *r) for i, r in enumerate(rows)])).collect()
+        person = {str(i): r[0] for i, r in enumerate(rows)}
+        assert all(person[x["finding_a"]] != person[x["finding_b"]] for x in out)
+        used = [y for x in out for y in (x["finding_a"], x["finding_b"])]
+        assert len(set(used)) == len(used)
+        return len(out)
+
+    assert found([("X", "A", "B"), ("Y", "A", "B"), ("X", "B", "A"), ("Z", "B", "A")]) == 2
+    assert found([("X", "A", "B"), ("X", "B", "A")]) == 0
+    assert found([("p", "A", "B")] + [("p", "B", "A")] * 40 + [("q", "B", "A")]) == 1
+    assert found([("p", "A", "B")] * 5 + [("q", "A", "B")] * 5 + [("p", "B", "A")] * 5 + [("q", "B", "A")] * 5) == 10
+    # nine tenths of all findings hold one value: the ranks come from many tasks
+    assert found([(f"a{i}", "A", "B") for i in range(300)] + [(f"b{i}", "B", "A") for i in range(30)]) == 30
+
+
+def test_ranks_over_all_tasks(spark):
+    from concordat.operators.ranks import ranked
+
+    rows = [("hot", i) for i in range(500)] + [(k, i) for k in ("a", "b", None, "z") for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    got = ranked(df, ["g"], ["v"])
+    assert got.columns == ["g", "v", "k"] and all(r["k"] == r["v"] + 1 for r in got.collect()) and got.count() == len(rows)
+    assert ranked(df.where("false"), ["g"], ["v"]).count() == 0
 
 
 def test_systemic_and_bijection_thresholds(spark):
@@ -183,11 +205,35 @@ def test_feedback(spark, tmp_path):
     store.save(tmp_path / "f.yaml")
     again = Store.load(tmp_path / "f.yaml", ["f"])
     assert again == store and again.next_id() == "R-EXPERT-002" and not Store.load(tmp_path / "none.yaml", []).exists
-    for bad in (ExpertRule("x", "drop", "f", {}, "r"), ExpertRule("x", "accept_subcategory", "q", {"subcategory": "s"}, "r"), ExpertRule("x", "accept_subcategory", "f", {}, "r"), ExpertRule("x", "accept_subcategory", "f", {"subcategory": "s"}, " ")):
+    assert again.set_active("R-EXPERT-001", False).rules[0].active is False and again.remove_rule("R-EXPERT-001").rules == () and again.remove_correction("2").corrections == ()
+    for call in (lambda: again.remove_rule("x"), lambda: again.remove_correction("x"), lambda: again.set_active("x", True), lambda: again.add_rule(rule, ["f"]), lambda: again.correct(Correction("2", "PERHAPS", "r", None, None))):
+        with pytest.raises(ValueError):
+            call()
+    (tmp_path / "bad.yaml").write_text("version: 2\nrules: [{id: a, operation: accept_hypothesis, field: f, params: {hypothesis: H-NONE}, reason: r}, 7]\ncorrections: [{finding_id: x, verdict: CONFORME}]\nmore: 1\n")
+    with pytest.raises(ValueError) as e:
+        Store.load(tmp_path / "bad.yaml", ["f"])
+    assert len(str(e.value).splitlines()) == 5
+    applied = feedback.apply_corrections(feedback.apply_rules(f, [rule]), c)
+    assert {tuple(r) for r in feedback.status([rule, ExpertRule("R-EXPERT-002", "accept_subcategory", "f", {"subcategory": "q"}, "r", active=False)], applied, c).collect()} == {("R-EXPERT-001", "rule", "active", 1), ("R-EXPERT-002", "rule", "inactive", 0), ("", "correction", "applied", 1), ("", "correction", "stale", 1), ("", "correction", "missing", 1)}
+    for bad in (ExpertRule("x", "accept_value_mapping", "f", {"mapping": {}}, "r"), ExpertRule("", "accept_subcategory", "f", {"subcategory": "s"}, "r"), ExpertRule("x", "drop", "f", {}, "r"), ExpertRule("x", "accept_subcategory", "q", {"subcategory": "s"}, "r"), ExpertRule("x", "accept_subcategory", "f", {}, "r"), ExpertRule("x", "accept_subcategory", "f", {"subcategory": "s"}, " ")):
         with pytest.raises(ValueError):
             store.add_rule(bad, ["f"])
 
 
+def test_mapping_texts_and_rules_from_sentences():
+    assert feedback.parse_mapping("A => B\n\n# note\n 7=> 8 \n(vide) => X") == {"A": "B", "7": "8", "": "X"}
+    for bad in ("A B", "A => B\nA => C"):
+        with pytest.raises(ValueError):
+            feedback.parse_mapping(bad)
+    r = feedback.translate("accept unit where 3 => 4; 5 => 6 because agreed", "R-1", ["unit"], "me")
+    assert (r.operation, r.params, r.reason, r.author) == ("accept_value_mapping", {"mapping": {"3": "4", "5": "6"}}, "agreed", "me")
+    assert feedback.translate("accept unit from column Other Unit because it is so", "R-1", ["unit"]).params == {"column": "Other Unit"}
+    assert feedback.translate("Accept unit under hypothesis H-SYSTEMIC because known", "R-1", ["unit"]).operation == "accept_hypothesis"
+    for bad in ("please accept", "accept other with subcategory x because y", "accept unit under hypothesis H-X because y"):
+        with pytest.raises(ValueError):
+            feedback.translate(bad, "R-1", ["unit"])
+
+
 def test_csv_export(spark, tmp_path):
     f = frame(spark, [(1, "f", "p", "A", "é;B"), (2, "f", "q", None, "C")]).withColumn("hypotheses", F.array(F.lit("H-SYSTEMIC"))).withColumn("priority", F.lit(1.0))
     raw = open(report.export_csv(f, tmp_path / "out.csv"), "rb").read()
