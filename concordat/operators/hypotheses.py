@@ -136,29 +136,31 @@ def permutation(findings: DataFrame) -> DataFrame:
     return _verified(sides[0].unionByName(sides[1]), "H-PERMUTATION", None, F.col("other"))
 
 
+def _origins(pairs: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """(_l, _r, cs): each pair's candidate columns in the kind's canonical form, in the order of `columns`."""
+    values = F.array(*[F.col("a_" + c).cast("string") for c in columns])
+    return pairs.select(F.col("l").alias("_l"), F.col("r").alias("_r"), F.transform(values, lambda x: K.canonical(kind, x)).alias("cs"))
+
+
 def alternative_sources(findings: DataFrame, pairs: DataFrame, mapping: Mapping, columns: Sequence[str]) -> DataFrame:
     """(target_field, col, hits, explains, population, support, mapped_support) of every candidate column of a field
-    that has anomalies. One scan and one aggregate row per field: the columns are compared side by side."""
-    h = mapping.hypotheses
+    that has anomalies. One aggregate row per field: the columns are compared side by side, each normalised once a kind."""
     used = {f.target: set(f.sources) for f in mapping.fields}
-    columns = [c for c in columns if c not in h["excluded_columns"]]
+    columns = [c for c in columns if c not in mapping.hypotheses["excluded_columns"]]
     pop = findings.where("l is not null and r is not null and target_norm is not null")
-    out = None
+    bad, out = "verdict in ('ANOMALIE', 'INDETERMINE')", None
     for kind in sorted({f.kind for f in mapping.fields}):
         targets = [f.target for f in mapping.fields if f.kind == kind]
-        side = pairs.select(F.col("l").alias("_l"), F.col("r").alias("_r"), *[K.canonical(kind, F.col("a_" + c)).alias(f"c{i}") for i, c in enumerate(columns)])
-        x = pop.where(F.col("target_field").isin(targets)).join(side, (F.col("l") == F.col("_l")) & (F.col("r") == F.col("_r")))
-        bad = F.col("verdict").isin(INVESTIGATE)
-        hit = lambda i: F.col(f"c{i}").eqNullSafe(F.col("target_norm"))  # noqa: B023,E731
-        agg = x.groupBy("target_field").agg(
-            F.count(F.lit(1)).alias("population"), F.count_if(F.col("verdict").isin("CONFORME", "JUSTIFIE")).alias("agreeing"), F.count_if(bad).alias("bad"),
-            *[F.count_if(hit(i)).alias(f"h{i}") for i in range(len(columns))], *[F.count_if(hit(i) & bad).alias(f"e{i}") for i in range(len(columns))],
-        ).where("bad > 0")
-        long = agg.select("target_field", "population", "agreeing", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"h{i}").alias("hits"), F.col(f"e{i}").alias("explains")) for i, c in enumerate(columns)])).alias("x")).select("target_field", "population", "agreeing", "x.*")
+        x = pop.where(F.col("target_field").isin(targets)).join(_origins(pairs, columns, kind), (F.col("l") == F.col("_l")) & (F.col("r") == F.col("_r")))
+        counts = [F.expr(f"count_if(cs[{i}] <=> target_norm{then}) as {n}{i}") for i in range(len(columns)) for n, then in (("h", ""), ("e", f" and {bad}"))]
+        agg = x.groupBy("target_field").agg(F.count(F.lit(1)).alias("population"), F.expr("count_if(verdict in ('CONFORME', 'JUSTIFIE')) as agreeing"), F.expr(f"count_if({bad}) as bad"), *counts).where("bad > 0")
+        cells = ", ".join(f"named_struct('n', {i}, 'hits', h{i}, 'explains', e{i})" for i in range(len(columns)))
+        long = agg.selectExpr("target_field", "population", "agreeing", f"explode(array({cells})) as x").select("target_field", "population", "agreeing", "x.*")
         out = long if out is None else out.unionByName(long)
+    named = out.withColumn("col", F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("n") + 1))
     own = [(t, c) for t, cs in used.items() for c in cs]
     is_own = reduce(lambda p, q: p | q, [(F.col("target_field") == t) & (F.col("col") == c) for t, c in own], F.lit(False))
-    return out.where(~is_own).select("target_field", "col", "hits", "explains", "population", F.round(F.col("hits") / F.col("population"), 6).alias("support"), F.round(F.col("agreeing") / F.col("population"), 6).alias("mapped_support"))
+    return named.where(~is_own).select("target_field", "col", "hits", "explains", "population", F.round(F.col("hits") / F.col("population"), 6).alias("support"), F.round(F.col("agreeing") / F.col("population"), 6).alias("mapped_support"))
 
 
 def candidate_rules(alternatives: DataFrame, mapping: Mapping) -> DataFrame:
@@ -172,7 +174,7 @@ def alternative_source(findings: DataFrame, pairs: DataFrame, mapping: Mapping,
     kind_of = {f.target: f.kind for f in mapping.fields}
     out = None
     for kind in sorted(set(kind_of.values())):
-        side = pairs.select(F.col("l").alias("_l"), F.col("r").alias("_r"), F.map_from_entries(F.array(*[F.struct(F.lit(c), K.canonical(kind, F.col("a_" + c))) for c in columns])).alias("m"))
+        side = _origins(pairs, columns, kind).withColumn("m", F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), "cs"))
         x = investigated(findings).where(F.col("target_field").isin([t for t, k in kind_of.items() if k == kind])).join(F.broadcast(rules.select("target_field", "col", "support")), "target_field")
         x = x.join(side, (F.col("l") == F.col("_l")) & (F.col("r") == F.col("_r"))).where(F.try_element_at("m", "col") == F.col("target_norm"))
         v = _verified(x, "H-ALT-SOURCE", F.col("support"), F.col("col"))
