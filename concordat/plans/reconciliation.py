@@ -142,8 +142,7 @@ def fields_of(*rules: str, kind: str | None = None) -> list[Field]:
     return [f for f in MAPPING.fields if f.rule in rules and (kind is None or f.kind == kind)]
 
 
-#: Fields whose rules SQL can follow: all but the names and addresses, whose text is repaired.
-CODED = [f for f in MAPPING.fields if f.rule not in ("accent_tolerant", "email")]
+CODED = list(MAPPING.fields)
 FAMILIES: dict[str, list[Field]] = {
     "verdict_direct_code": fields_of("direct", kind="code"),
     "verdict_direct_date": fields_of("direct", kind="date"),
@@ -319,6 +318,38 @@ def sql_text(c: str) -> str:
     return f"(case when lower({s}) not in ('', 'nan', 'nat', 'none', 'null', '<na>', 'n/a', '-') then {s} end)"
 
 
+_WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def _let(x: str, name: str, body: str) -> str:
+    return f"(list_transform([{x}], lambda {name}: {body})[1])"
+
+
+def sql_repair(c: str) -> str:
+    """UTF-8 that was read as Windows-1252 or Latin-1, read again where that leaves fewer marks of the fault."""
+    marks = lambda x: f"len(regexp_extract_all({x}, '{K.MARKERS}'))"
+    again = lambda x: f"try(decode(unhex(list_aggregate(list_transform(string_split({x}, ''), lambda q: printf('%02x', ord(q))), 'string_agg', ''))))"
+    narrow = lambda x: f"regexp_full_match({x}, '[\\x00-\\x{{ff}}]*')"
+    as_bytes = f"translate(a, '{K.CP1252_CHARS}', '{''.join(map(chr, K.CP1252_BYTES))}')"
+    kept = lambda x: _let(again(x), "d", f"case when {marks('d')} < {marks('a')} then d end")
+    first = _let(as_bytes, "w", f"case when {narrow('w')} and not regexp_matches(a, '[\\x{{80}}-\\x{{9f}}]') then {kept('w')} end")
+    return _let(c, "a", f"case when regexp_matches(a, '{K.MARKERS}') then coalesce({first}, case when {narrow('a')} then {kept('a')} end, a) else a end")
+
+
+def sql_clean(c: str) -> str:
+    """Text kind: repaired, composed, collapsed; NULL where empty."""
+    return _let(f"trim(regexp_replace(nfc_normalize({sql_repair(c)}), '{_WS}', ' ', 'g'))", "z", "case when lower(z) not in ('', 'nan', 'nat', 'none', 'null', '<na>', 'n/a', '-') then z end")
+
+
+def sql_strip_accents(c: str) -> str:
+    single = {k: v for k, v in K._PLAIN.items() if len(v) == 1}
+    out = f"translate(b, '{''.join(single)}', '{''.join(single.values())}')"
+    for k, v in K._PLAIN.items():
+        if len(v) > 1 and ord(k) < 0x250:
+            out = f"replace({out}, '{k}', '{v}')"
+    return _let(c, "b", f"case when regexp_matches(b, '[^\\x00-\\x7f]') then regexp_replace({out}, '[\\x{{300}}-\\x{{36f}}]', '', 'g') else b end")
+
+
 def sql_plain_number(c: str) -> str:
     s = f"replace(trim({c}), ',', '.')"
     tail = f"regexp_replace(case when contains({s}, '.') then regexp_replace(regexp_replace({s}, '0+$', ''), '[.]$', '') else {s} end, '^0+([0-9])', '\\1')"
@@ -347,6 +378,7 @@ _HISTORY = f"""hist as (select * from (select {sql_code('IdentifiantPoste')} pos
  starts as (select poste, unit, eff, detail_id from (select *, row_number() over w rn, lag(unit) over w before from hist window w as (partition by poste order by eff, detail_id)) where rn = 1 or unit is distinct from before),
  runs as (select *, lead(eff) over w next_eff, row_number() over w run, count(*) over (partition by poste) n_runs from starts window w as (partition by poste order by eff, detail_id)),
  spans as (select * from runs qualify row_number() over (partition by poste, unit order by run desc) = 1)"""
+_SAME = "select a.row_id l, b.row_id r from {A} a join {B} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type"
 _PAIRS = f"""{_HISTORY},
  look as (select {sql_code('"CodeCatégorieStatut"')} reason, arg_max("CodeStatutSystèmeExterne", "CodeCatégorieStatut") lookup_reason, arg_max("CodeGestionAccès", "CodeCatégorieStatut") gestion from motifs group by 1),
  one as (select poste, min(eff) first_eff from runs where n_runs = 1 group by 1),
@@ -364,8 +396,28 @@ def _sql_field(f: Field) -> list[str]:
     q = [f'p."{c}"' for c in f.sources]
     t = f'p."{f.target}"'
     for choice in (i.choice, *i.alternatives) if i else (None,):
-        unk, src = "false", "null"
-        if f.rule == "direct":
+        unk, src, over, t_text = "false", "null", "cast(null as varchar)", None
+        if f.rule == "accent_tolerant":
+            exp = src = sql_clean(q[0])
+            t_text = sql_clean(t)
+            if choice == "tolerant":
+                loose = lambda x: f"replace(lower({sql_strip_accents(x)}), 'ß', 'ss')"
+                over = _let(exp, "m", _let(t_text, "n", f"case when m is distinct from n and {loose('m')} = {loose('n')} then 'JUSTIFIE' end"))
+        elif f.rule == "email":
+            pr = i.params
+            first, last, ident = (sql_clean(x) for x in q)
+            t_text = sql_clean(t)
+            low = lambda x: f"lower({sql_strip_accents(x)})"
+            digits = f"right(regexp_replace({ident}, '[^0-9]', '', 'g'), {pr['digits']})"
+            local = f"({low(f'left({first}, 1)')} || replace({low(last)}, ' ', '') || {digits})"
+            exp, unk = f"({local} || '@{pr['domain']}')", f"({first} is null or {last} is null or {ident} is null)"
+            if choice == "strict":
+                good = f"coalesce({t_text} = {exp}, false)"
+            else:
+                inner = f"contains(y, '@') and lower(split_part(y, '@', -1)) = '{pr['domain']}' and lower(regexp_replace(left(y, length(y) - length(split_part(y, '@', -1)) - 1), '{pr['prefix']}', '')) = {local}"
+                good = _let(t_text, "y", f"coalesce({inner}, false)")
+            over = f"case when {unk} then 'INDETERMINE' when {good} then 'JUSTIFIE' else 'ANOMALIE' end"
+        elif f.rule == "direct":
             exp = src = _SQL_KIND[f.kind](q[0])
             unk = _bad(f.kind, q[0])
         elif f.rule == "concat":
@@ -394,10 +446,10 @@ def _sql_field(f: Field) -> list[str]:
             own = sql_date(q[0])
             fn, unit = ("least" if f.rule == "interval_end" or choice == "literal" else "greatest"), "p.unit_end" if f.rule == "interval_end" else "p.unit_start"
             exp, src, unk = f"strftime({fn}({own}, {unit}), '%Y-%m-%d')", f"strftime({own}, '%Y-%m-%d')", _bad("date", q[0])
-        target = _SQL_KIND[f.kind](t)
-        direct = "true" if f.rule in ("direct", "concat", "interval_start", "interval_end") else "false"
+        target = t_text or _SQL_KIND[f.kind](t)
+        direct = "true" if f.rule in ("direct", "accent_tolerant", "concat", "interval_start", "interval_end") else "false"
         out.append(
-            f"select p.person_id, p.assignment_key, '{f.target}' target_field, {repr(choice) if choice else 'cast(null as varchar)'} reading, {str(not i or choice == i.choice).lower()} active, cast({exp} as varchar) e, cast({src} as varchar) s, {unk} unk, cast({target} as varchar) t, {_bad(f.kind, t)} bad, {direct} direct from p"
+            f"select p.person_id, p.assignment_key, '{f.target}' target_field, {repr(choice) if choice else 'cast(null as varchar)'} reading, {str(not i or choice == i.choice).lower()} active, cast({exp} as varchar) e, cast({src} as varchar) s, {unk} unk, cast({target} as varchar) t, {'false' if t_text else _bad(f.kind, t)} bad, {direct} direct, {over} fixed from p"
         )
     return out
 
@@ -407,7 +459,7 @@ def sql_evaluated(fields: Sequence[Field]) -> str:
     union = " union all ".join(s for f in fields for s in _sql_field(f))
     return f"""with {_PAIRS}, raw as ({union}),
  ev as (select person_id, assignment_key, target_field, reading, active, case when not unk then e end expected, t target_norm,
-  case when bad or unk then 'INDETERMINE' when e is not distinct from t then case when direct and s is not distinct from t then 'CONFORME' else 'JUSTIFIE' end else 'ANOMALIE' end verdict from raw)"""
+  case when fixed is not null then fixed when bad or unk then 'INDETERMINE' when e is not distinct from t then case when direct and s is not distinct from t then 'CONFORME' else 'JUSTIFIE' end else 'ANOMALIE' end verdict from raw)"""
 
 
 _MISSING = "select x.person_id, x.assignment_type, x.row_id from {0} x left join {1} y on x.person_id = y.person_id and x.assignment_type = y.assignment_type where y.person_id is null"
@@ -439,7 +491,7 @@ def _sql_alt() -> str:
 
 
 SQL: dict[str, str] = {
-    **{k: f"{sql_evaluated(v)} select person_id, assignment_key, target_field, reading, expected, target_norm, verdict from ev" for k, v in FAMILIES.items() if all(f in CODED for f in v)},
+    **{k: f"{sql_evaluated(v)} select person_id, assignment_key, target_field, reading, expected, target_norm, verdict from ev" for k, v in FAMILIES.items()},
     "verdict_counts": f"{sql_evaluated(CODED)} select v.verdict, count(ev.verdict) n from (select unnest(['CONFORME', 'JUSTIFIE', 'ANOMALIE', 'INDETERMINE']) verdict) v left join ev on ev.verdict = v.verdict and ev.active group by 1",
     "verdict_by_field": f"{sql_evaluated(CODED)} select coalesce(target_field, 'TOTAL') target_field, {_V}, count(*) n from ev where active group by rollup (target_field)",
     "interpretation_agreement": f"{sql_evaluated([f for f in CODED if f.interpretation])}, g as (select target_field, reading, active, count(*) filter (where verdict <> 'INDETERMINE') evaluated, count(*) filter (where verdict in ('CONFORME', 'JUSTIFIE')) agreeing from ev group by all) select *, round(case when evaluated > 0 then agreeing / evaluated else 0 end, 6) rate from g",
