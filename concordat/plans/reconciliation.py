@@ -15,6 +15,12 @@ from concordat.plans.general import latest, sql_code, sql_date, sql_effective
 from concordat.session import materialize, table
 
 MAPPING = load()
+#: The columns of system A.
+SOURCE_COLUMNS = (
+    "Matricule NomFamille PrénomUsuel DateEmbaucheRécente TypeAffectation DateEntréePoste DateSortiePoste CodePoste IntituléPoste CodeEmploi IntituléEmploi ÉchelleSalariale LibelléÉchelleSalariale CodeImputation "
+    "LibelléImputation CodeDirection LibelléDirection CodeSite LibelléSite CatégorieEmploi EstPermanent EstTempsPlein CodeStatutEmploi CodeRaisonStatut LibelléRaisonStatut CodeSuspensionAccès DateEffetRaison "
+    "DateRetourAnticipée IdentifiantResponsable NomResponsable CodeQuart HeuresNormeHebdo HeuresNormeQuotidienne"
+).split()
 #: Columns that name or date a row and say nothing of the assignment.
 TECHNICAL = ("row_id", "detail_id", "charge_le", "saisi_le")
 
@@ -238,7 +244,7 @@ def assignment_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders against a faulty copy, blocked by customer and status: blocks of one, of a few and of many rows."""
     o = table(spark, d, "orders").where("o_custkey is not null")
     text = lambda c: F.col(c).cast("string")
-    a = o.select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", F.to_date("o_orderdate").cast("string").alias("v0"), text("o_orderpriority").alias("v1"), F.format_number("o_totalprice", 2).alias("v2"))
+    a = o.select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", F.to_date("o_orderdate").cast("string").alias("v0"), text("o_orderpriority").alias("v1"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("v2"))
     hurt = F.col("id") % 7
     b = a.select((F.col("id") * 10).alias("id"), "o_custkey", "o_orderstatus", F.when(hurt != 1, F.col("v0")).alias("v0"), F.when(hurt == 2, "9-NONE").otherwise(F.col("v1")).alias("v1"), F.when(hurt == 3, "0.00").otherwise(F.col("v2")).alias("v2"))
     return matching.match_blocks(a, b, ["o_custkey", "o_orderstatus"], ["v0", "v1", "v2"])
@@ -374,17 +380,22 @@ _SIDE = {
     "A": f"(select * from (select *, {sql_code('Matricule')} person_id, upper({sql_text('TypeAffectation')}) assignment_type from rh_source) where person_id is not null and assignment_type is not null qualify row_number() over (partition by person_id, assignment_type order by charge_le desc, row_id desc) = 1)",
     "B": f"(select * from (select *, {sql_code('personId')} person_id, {_SQL_FLAGS} assignment_type from temps_target) where person_id is not null and assignment_type is not null qualify row_number() over (partition by person_id, assignment_type order by charge_le desc, row_id desc) = 1)",
 }
+#: Latest row per person and type, rows without type (one a person) and without person (all) included.
+_SQL_KEYLESS = {
+    x: f"(select * from (select *, {sql_code(person)} person_id, {kind} assignment_type from {t}) qualify person_id is null or row_number() over (partition by person_id, assignment_type order by charge_le desc, row_id desc) = 1)"
+    for x, t, person, kind in (("A", "rh_source", "Matricule", f"upper({sql_text('TypeAffectation')})"), ("B", "temps_target", "personId", _SQL_FLAGS))
+}
 _HISTORY = f"""hist as (select * from (select {sql_code('IdentifiantPoste')} poste, {sql_effective('DateEffetAffectation')} eff, {sql_code('"CodeDirectionAffectée"')} unit, detail_id from poste_detail) where poste is not null and eff is not null),
  starts as (select poste, unit, eff, detail_id from (select *, row_number() over w rn, lag(unit) over w before from hist window w as (partition by poste order by eff, detail_id)) where rn = 1 or unit is distinct from before),
  runs as (select *, lead(eff) over w next_eff, row_number() over w run, count(*) over (partition by poste) n_runs from starts window w as (partition by poste order by eff, detail_id)),
  spans as (select * from runs qualify row_number() over (partition by poste, unit order by run desc) = 1)"""
-_SAME = "select a.row_id l, b.row_id r from {A} a join {B} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type"
+_SQL_JOIN = f"from {_SIDE['A']} a join {_SIDE['B']} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type"
 _PAIRS = f"""{_HISTORY},
  look as (select {sql_code('"CodeCatégorieStatut"')} reason, arg_max("CodeStatutSystèmeExterne", "CodeCatégorieStatut") lookup_reason, arg_max("CodeGestionAccès", "CodeCatégorieStatut") gestion from motifs group by 1),
  one as (select poste, min(eff) first_eff from runs where n_runs = 1 group by 1),
  p as (select a.person_id, a.assignment_type || ':' || coalesce({sql_code('a.CodePoste')}, cast(a.row_id as varchar)) assignment_key, a.*, b.* exclude (person_id, assignment_type, row_id, charge_le),
   look.lookup_reason, look.gestion, case when one.poste is not null then one.first_eff else s.eff end unit_start, case when one.poste is null then s.next_eff - 1 end unit_end
-  from {_SIDE['A']} a join {_SIDE['B']} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type
+  {_SQL_JOIN}
   left join look on look.reason = {sql_code('a.CodeRaisonStatut')} left join one on one.poste = {sql_code('a.CodePoste')}
   left join spans s on s.poste = {sql_code('a.CodePoste')} and s.unit = {sql_code('a.CodeDirection')})"""
 
@@ -466,12 +477,69 @@ _MISSING = "select x.person_id, x.assignment_type, x.row_id from {0} x left join
 _V = ", ".join(f"count(*) filter (where verdict = '{v}') {v.lower()}" for v in verdicts.VERDICTS)
 
 
+def _sql_comparable(kind: str, c: str) -> str:
+    full = {"code": sql_code, "number": lambda x: f"coalesce({sql_plain_number(x)}, '?' || {sql_text(x)})", "date": lambda x: f"coalesce(strftime({sql_date(x)}, '%Y-%m-%d'), '?' || {sql_text(x)})"}
+    return full[kind](c)
+
+
+def _sql_similarity_of(a: str, b: str) -> str:
+    both = [(_sql_comparable(x.kind, f'{a}."{x.source}"'), _sql_comparable(x.kind, f'{b}."{x.target}"')) for x in MAPPING.similarity]
+    n = " + ".join(f"(({p}) is not null or ({q}) is not null)::int" for p, q in both)
+    k = " + ".join(f"coalesce(({p}) = ({q}), false)::int" for p, q in both)
+    return f"(case when ({n}) > 0 then round(({k}) / ({n}), 4) else 0.0 end)"
+
+
 def _sql_similarity() -> str:
-    full = {"code": sql_code, "number": lambda c: f"coalesce({sql_plain_number(c)}, '?' || {sql_text(c)})", "date": lambda c: f"coalesce(strftime({sql_date(c)}, '%Y-%m-%d'), '?' || {sql_text(c)})"}
-    both = [(full[x.kind](f'a."{x.source}"'), full[x.kind](f'b."{x.target}"')) for x in MAPPING.similarity]
-    n = " + ".join(f"(({a}) is not null or ({b}) is not null)::int" for a, b in both)
-    k = " + ".join(f"coalesce(({a}) = ({b}), false)::int" for a, b in both)
-    return f"select a.person_id, a.assignment_type, case when ({n}) > 0 then round(({k}) / ({n}), 4) else 0.0 end score from {_SIDE['A']} a join {_SIDE['B']} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type"
+    return f"select a.person_id, a.assignment_type, {_sql_similarity_of('a', 'b')} score from {_SIDE['A']} a join {_SIDE['B']} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type"
+
+
+def _sql_summary(t: str, columns: Sequence[str]) -> str:
+    return "concat_ws(', ', " + ", ".join(f"""case when {t}."{c}" <> '' then '{c}=' || {t}."{c}" end""" for c in columns) + ")"
+
+
+def sql_match(name: str, left: str, right: str, block: Sequence[str], values: Sequence[tuple[str, str]], exact: int = matching.EXACT) -> str:
+    """CTEs up to `name`_out (l, r, score, method): the rows of `left` and `right` (with row_id) of equal `block`. Blocks up
+    to `exact` rows a side by the best total over all sets of partners, the first in order among equals; larger ones cell
+    by cell. values: expressions over a and b."""
+    n = " + ".join(f"(({p}) is not null or ({q}) is not null)::int" for p, q in values)
+    k = " + ".join(f"coalesce(({p}) = ({q}), false)::int" for p, q in values)
+    score = f"(case when ({n}) > 0 then round(({k}) / ({n}), 4) else 0.0 end)"
+    by, on = ", ".join(block), " and ".join(f"a.{c} = b.{c}" for c in block)
+    there = " and ".join(f"{c} is not null" for c in block)
+    row = "struct_pack(" + ", ".join(f"{c} := a.{c}" for c in block) + ")"
+    ctes = [
+        f"{name}_l as (select *, row_number() over (partition by {by} order by row_id) - 1 i, count(*) over (partition by {by}) n from ({left}) where {there})",
+        f"{name}_r as (select *, row_number() over (partition by {by} order by row_id) - 1 j, count(*) over (partition by {by}) m from ({right}) where {there})",
+        f"{name}_c as (select {row} blk, a.row_id l, b.row_id r, i, j, n, m, least(n, m) short, greatest(n, m) long, case when n <= m then i else j end k, case when n <= m then j else i end c, {score} score from {name}_l a join {name}_r b on {on})",
+        f"{name}_s0 as (select distinct blk, short, long, 0 mask, 0.0::double total, []::bigint[] path from {name}_c where long > 1 and long <= {exact})",
+    ]
+    for t in range(1, exact + 1):
+        ctes.append(
+            f"{name}_s{t} as (select blk, short, long, mask, max(total) total, arg_min(path, (-round(total, 9), path)) path from (select s.blk, s.short, s.long, s.mask | (1 << c.c) mask, s.total + c.score total, list_append(s.path, c.c) path from {name}_s{t - 1} s join {name}_c c on c.blk = s.blk and c.k = {t - 1} where s.short >= {t} and (s.mask >> c.c) & 1 = 0) group by all)"
+        )
+    ends = " union all ".join(f"select blk, total, path from {name}_s{t} where short = {t}" for t in range(1, exact + 1))
+    ctes += [
+        f"{name}_best as (select blk, arg_min(path, (-round(total, 9), path)) path from ({ends}) group by 1)",
+        f"{name}_g as (select blk, 0 step, []::bigint[] ui, []::bigint[] uj, null::bigint l, null::bigint r, null::double score from (select distinct blk from {name}_c where long > {exact}) union all select g.blk, step + 1, list_append(ui, c.i), list_append(uj, c.j), c.l, c.r, c.score from {name}_g g join {name}_c c on c.blk = g.blk where not list_contains(ui, c.i) and not list_contains(uj, c.j) qualify row_number() over (partition by g.blk order by c.score desc, c.i, c.j) = 1)",
+        f"{name}_out as (select l, r, score, 'UNIQUE' method from {name}_c where long = 1 union all select l, r, score, 'OPTIMAL' from {name}_c c join {name}_best b on b.blk = c.blk where c.c = b.path[c.k + 1] union all select l, r, score, 'GREEDY' from {name}_g where l is not null)",
+    ]
+    return ", ".join(ctes)
+
+
+def _sql_assignment_pairs() -> str:
+    values = [(_sql_comparable(x.kind, f'a."{x.source}"'), _sql_comparable(x.kind, f'b."{x.target}"')) for x in MAPPING.similarity]
+    a, b = f"select *, {sql_code('Matricule')} person, upper({sql_text('TypeAffectation')}) kind from rh_source", f"select *, {sql_code('personId')} person, {_SQL_FLAGS} kind from temps_target"
+    rest = lambda t, c: f"select * exclude (i, n) from (select *, 0 i, 0 n from ({t})) where row_id not in (select {c} from same_out)"
+    null = "null::double score"
+    return f"""with recursive {sql_match("same", a, b, ["person", "kind"], values)}, {sql_match("cross_", rest(a, "l"), rest(b, "r"), ["person"], values)},
+ paired as (select * from same_out union all select l, r, score, 'CROSS_TYPE' from cross__out where score >= {MAPPING.cross_type_least})
+ select * from paired union all select row_id, null, {null}, 'MISSING_IN_TARGET' from rh_source where row_id not in (select l from paired) union all select null, row_id, {null}, 'MISSING_IN_SOURCE' from temps_target where row_id not in (select r from paired)"""
+
+
+def _sql_assignment_orders() -> str:
+    a = "select o_orderkey row_id, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') v0, o_orderpriority v1, cast(cast(round(o_totalprice, 2) as decimal(18,2)) as varchar) v2 from orders where o_custkey is not null"
+    b = f"select row_id * 10 row_id, o_custkey, o_orderstatus, case when row_id % 7 <> 1 then v0 end v0, case when row_id % 7 = 2 then '9-NONE' else v1 end v1, case when row_id % 7 = 3 then '0.00' else v2 end v2 from ({a})"
+    return f"with recursive {sql_match('o', a, b, ['o_custkey', 'o_orderstatus'], [(f'a.v{i}', f'b.v{i}') for i in range(3)])} select * from o_out"
 
 
 _ALT_COLUMNS = ["CodeEmploi", "CodeDirection", "CodeImputation", "CodeSite", "ÉchelleSalariale", "CodePoste", "CodeStatutEmploi", "CodeQuart"]
@@ -500,6 +568,8 @@ SQL: dict[str, str] = {
     "full_outer_pairs": f"select coalesce(a.assignment_type, b.assignment_type) assignment_type, case when b.person_id is null then 'missing_in_target' when a.person_id is null then 'missing_in_source' else 'paired' end state, count(*) n from {_SIDE['A']} a full join {_SIDE['B']} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type group by all",
     "type_census": f"select coalesce(a.assignment_type, b.assignment_type) assignment_type, coalesce(n_source, 0) n_source, coalesce(n_target, 0) n_target from (select assignment_type, count(*) n_source from {_SIDE['A']} group by 1) a full join (select assignment_type, count(*) n_target from {_SIDE['B']} group by 1) b on a.assignment_type = b.assignment_type",
     "similarity_scores": _sql_similarity(),
+    "assignment_pairs": _sql_assignment_pairs(),
+    "assignment_orders": _sql_assignment_orders(),
     "unit_intervals": f"with {_HISTORY} select poste, coalesce(unit, '') unit, strftime(eff, '%Y-%m-%d') unit_start, coalesce(strftime(next_eff - 1, '%Y-%m-%d'), '') unit_end from spans",
     "hyp_alt_interpretation": f"{sql_evaluated([f for f in CODED if f.interpretation])}, alt as (select person_id, assignment_key, target_field, string_agg(reading, ',' order by reading) detail from ev where not active and verdict in ('CONFORME', 'JUSTIFIE') group by all) select ev.person_id || ':' || ev.assignment_key || ':' || ev.target_field finding_id, ev.target_field, detail from ev join alt using (person_id, assignment_key, target_field) where active and verdict in ('ANOMALIE', 'INDETERMINE')",
     "interpretation_sweep": f"{sql_evaluated([f for f in CODED if f.interpretation])}, alt as (select person_id, assignment_key, target_field, string_agg(reading || '=' || verdict, ';' order by reading) alternatives, list(distinct verdict) vs from ev where not active group by all) select ev.person_id, ev.assignment_key, ev.target_field, ev.verdict, alternatives, 'MOYENNE' confidence from ev join alt using (person_id, assignment_key, target_field) where active and len(list_filter(vs, lambda x: x <> ev.verdict)) > 0",

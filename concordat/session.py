@@ -72,6 +72,11 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def track(path: str) -> None:
+    """Have release() delete a folder too."""
+    _written.append(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that materialize() wrote; call it when no DataFrame made from them is needed any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
