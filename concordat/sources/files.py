@@ -9,15 +9,19 @@ import json
 import re
 import unicodedata
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from pathlib import Path
+from pathlib import Path, PurePath
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from concordat.functions import kinds as K
+from concordat.session import materialize
+
 # Suffixes, encodings in the order they are tried, and separators.
 SUFFIXES = (".xlsx", ".xlsm", ".csv")
 ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
@@ -31,46 +35,77 @@ def stem_key(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", plain)
 
 
+def pick(names: Sequence[str], wanted: str) -> str | None:
+    """Of a folder's file names: the wanted one, else the same stem with another suffix, else a stem that is alike."""
+    stem, usable = PurePath(wanted).stem, sorted(n for n in names if PurePath(n).suffix.lower() in SUFFIXES and not n.startswith("."))
+    tests = (lambda n: n == wanted, lambda n: PurePath(n).stem == stem, lambda n: stem_key(PurePath(n).stem) == stem_key(stem))
+    return next((n for fits in tests for n in usable if fits(n)), None)
+
+
+def listed(spark: SparkSession, folder: str | Path) -> list[str]:
+    """Names of the files of a folder on any file system Spark can read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(folder))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isFile())
+
+
 def resolve(folder: str | Path, wanted: str) -> Path | None:
-    """The exact name, else the same stem with another suffix, else a stem that is alike."""
-    folder = Path(folder)
-    exact = folder / wanted
-    if exact.exists():
-        return exact
-    files = sorted(p for p in folder.iterdir() if p.suffix.lower() in SUFFIXES and not p.name.startswith("."))
-    stem = Path(wanted).stem
-    return next((p for p in files if p.stem == stem), None) or next((p for p in files if stem_key(p.stem) == stem_key(stem)), None)
-
-
-def sniff(head: bytes) -> tuple[str, str]:
-    """(encoding, separator) of a CSV file from its first bytes; the separator most frequent in the first line."""
+    """The file of a local folder that pick() takes."""
+    name = pick([p.name for p in Path(folder).iterdir()], wanted)
+    return Path(folder) / name if name else None
+
+
+def decoding(content: bytes) -> str:
+    """The first of ENCODINGS that reads all of a file."""
     for encoding in ENCODINGS:
         try:
-            text = head.decode(encoding)
-            break
-        except UnicodeDecodeError as e:
-            if encoding == "utf-8-sig" and e.start >= len(head) - 4:  # cut within a character
-                text = head[: e.start].decode(encoding)
-                break
+            content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        return encoding
+    return ENCODINGS[-1]
+
+
+def separator(text: str) -> str:
+    """The separator most frequent in the first line that isn't blank; a comma where there is none."""
     line = next((x for x in text.splitlines() if x.strip()), "")
     best = max(SEPARATORS, key=line.count)
-    return encoding, best if line.count(best) else ","
+    return best if line.count(best) else ","
 
 
-def read_csv(spark: SparkSession, path: str | Path, locator: bool = True) -> DataFrame:
-    """All columns as text, "" as NULL, names stripped, `_row` = line of the record, the header being line 1.
+def sniff(content: bytes) -> tuple[str, str]:
+    """(encoding, separator) of a whole CSV file."""
+    encoding = decoding(content)
+    return encoding, separator(content.decode(encoding))
+
+
+def _described(spark: SparkSession, path: str) -> tuple[str, str, list[str]]:
+    """(encoding, separator, column names) of a CSV file, found where it lies: one task reads all of it."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            for content in b["content"]:
+                encoding, sep = sniff(content)
+                names = next(csv.reader(io.StringIO(content.decode(encoding), newline=""), delimiter=sep), [])
+                yield pd.DataFrame({"encoding": [encoding], "sep": [sep], "names": [[n.strip() for n in names]]})
+
+    r = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "encoding string, sep string, names array<string>").first()
+    return r["encoding"], r["sep"], list(r["names"])
 
-    A file with a locator is read by one task, since line numbers need the order of the file; without it Spark splits
-    the file. Quoted fields may hold line breaks; `_row` counts records.
+
+def read_csv(spark: SparkSession, path: str | Path, lines: bool = False) -> DataFrame:
+    """All columns as text, "" as NULL, names stripped, `_row` = number of the record, the header being record 1. Blank lines
+    count as lines but give no row. The encoding is the first of ENCODINGS that reads the whole file.
+
+    Quoted fields may hold line breaks, so one task reads the file. With `lines`, each record is one line: the file is
+    split over all tasks and its lines are numbered by counts per split.
     """
-    with open(path, "rb") as f:
-        encoding, sep = sniff(f.read(65536))
-    charset = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
-    if not locator and charset == "UTF-8":
-        df = spark.read.csv(str(path), sep=sep, header=True, encoding=charset, nullValue="", multiLine=False)
-        return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
-    with open(path, encoding=encoding, newline="") as f:
-        names = [n.strip() for n in next(csv.reader(f, delimiter=sep), [])]
+    path = str(path)
+    encoding, sep, names = _described(spark, path)
+    if lines:
+        return _read_lines(spark, path, encoding, sep, names)
     schema = "`_row` int" + "".join(f", `{n}` string" for n in names)
 
     def run(batches: Iterator) -> Iterator:
@@ -83,7 +118,25 @@ def read_csv(spark: SparkSession, path: str | Path, locator: bool = True) -> Dat
                 rows = [[i, *[(x if x != "" else None) for x in (r + [None] * len(names))[: len(names)]]] for i, r in enumerate((r for r in reader if r), 2)]
                 yield pd.DataFrame(rows, columns=["_row", *names]).astype({n: object for n in names})
 
-    return spark.read.format("binaryFile").load(str(path)).select("content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+def _read_lines(spark: SparkSession, path: str, encoding: str, sep: str, names: Sequence[str]) -> DataFrame:
+    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    if encoding == "utf-8-sig":
+        text = F.regexp_replace("value", "^\ufeff", "")
+    else:  # Spark decodes Latin-1; the 27 other characters of Windows-1252 follow by a table
+        text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+        if encoding == "cp1252":
+            text = F.translate(text, "".join(map(chr, K.CP1252_BYTES)), K.CP1252_CHARS)
+    kept = materialize(raw.select(text.alias("t"), "_b", "_i").where("t <> ''"), "lines")
+    # a split lies in one task, whose ids rise along it
+    per = kept.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
+    before = per.withColumn("_o", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_o")  # one row a split
+    numbered = kept.join(F.broadcast(before), "_b").withColumn("_row", (F.row_number().over(Window.partitionBy("_b").orderBy("_i")) + F.col("_o")).cast("int"))
+    schema = ", ".join(f"`{n}` string" for n in names)
+    cells = F.from_csv("t", schema, {"sep": sep, "nullValue": "", "quote": '"', "escape": '"'})
+    return numbered.where("_row > 1").select("_row", cells.alias("_p")).select("_row", "_p.*")
 
 
 def xlsx_rows(content: bytes, sheet: str | int = 0) -> Iterator[list[str | None]]:
@@ -162,9 +215,48 @@ class XlsxSource(DataSource):
         return XlsxReader(schema, self.options)
 
 
+def sheet_names(content: bytes) -> list[str]:
+    book = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("xl/workbook.xml"))
+    return [x.get("name") for x in book.find("m:sheets", _NS)]
+
+
+def read_sheets(spark: SparkSession, path: str | Path, sheets: Sequence[str | int] | None = None) -> dict[str, DataFrame]:
+    """Sheets of a workbook on any file system by name, all of them if none are named: columns as text, `_row` the
+    spreadsheet's line."""
+    file = spark.read.format("binaryFile").load(str(path)).select("content")
+
+    def look(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            for content in b["content"]:
+                for i, name in enumerate(sheet_names(content)):
+                    if sheets is None or i in sheets or name in sheets:
+                        yield pd.DataFrame({"name": [name], "header": [[(h or "").strip() for h in next(xlsx_rows(content, name), [])]]})
+
+    found = file.mapInPandas(look, "name string, header array<string>").collect()  # a row a sheet
+    missing = [x for x in sheets or [] if isinstance(x, str) and x not in {r["name"] for r in found}]
+    if missing:
+        raise ValueError(f"{path}: no sheet {', '.join(missing)}")
+
+    def rows(name: str, header: list[str]):
+        def run(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            for b in batches:
+                for content in b["content"]:
+                    it = xlsx_rows(content, name)
+                    next(it, None)
+                    out = [[i, *(r + [None] * len(header))[: len(header)]] for i, r in enumerate(it, 2) if any(x is not None for x in r)]
+                    yield pd.DataFrame(out, columns=["_row", *header]).astype({n: object for n in header})
+
+        return run
+
+    return {r["name"]: file.mapInPandas(rows(r["name"], list(r["header"])), "`_row` int" + "".join(f", `{h}` string" for h in r["header"])) for r in found}
+
+
 def read_xlsx(spark: SparkSession, path: str | Path, sheet: str | int = 0) -> DataFrame:
-    spark.dataSource.register(XlsxSource)
-    return spark.read.format("xlsx").option("sheet", str(sheet)).load(str(path))
+    return next(iter(read_sheets(spark, path, [sheet]).values()))
 
 
 def unpack(df: DataFrame) -> DataFrame:
@@ -178,21 +270,21 @@ def unpack(df: DataFrame) -> DataFrame:
     return df.select(*(["_row"] if "_row" in df.columns else []), parsed.alias("_p")).select(*(["_row"] if "_row" in df.columns else []), "_p.*")
 
 
-def read_table(spark: SparkSession, path: str | Path, sheet: str | int = 0) -> DataFrame:
-    p = Path(path)
-    return unpack(read_csv(spark, p) if p.suffix.lower() == ".csv" else read_xlsx(spark, p, sheet))
+def read_table(spark: SparkSession, path: str | Path, sheet: str | int = 0, lines: bool = False) -> DataFrame:
+    return unpack(read_csv(spark, path, lines) if str(path).lower().endswith(".csv") else read_xlsx(spark, path, sheet))
 
 
 def load_bundle(spark: SparkSession, folder: str | Path, tables: dict[str, dict]) -> dict[str, DataFrame]:
-    """tables: name -> {file, columns (required), optional}. All missing files and columns are reported together."""
-    out, bad = {}, []
+    """tables: name -> {file, columns (required), optional, sheet, lines}. All missing files and columns are reported
+    together. The folder may lie on any file system."""
+    out, bad, names = {}, [], listed(spark, folder)
     for name, t in tables.items():
-        path = resolve(folder, t["file"])
-        if path is None:
+        found = pick(names, t["file"])
+        if found is None:
             if not t.get("optional"):
                 bad.append(f"{name}: no file {t['file']}")
             continue
-        df = read_table(spark, path, t.get("sheet", 0))
+        df = read_table(spark, f"{folder}/{found}", t.get("sheet", 0), t.get("lines", False))
         gone = [c for c in t.get("columns", []) if c not in df.columns]
         if gone:
             bad.append(f"{name}: no columns {', '.join(gone)}")
@@ -212,9 +304,10 @@ def manifest_status(spark: SparkSession, folder: str | Path) -> DataFrame:
     """(name, status): CONFORME, DIFFERENT, SANS (no entry) or ABSENT (no file) against manifest.json; a malformed
     manifest counts as none."""
     try:
-        files = json.loads((Path(folder) / "manifest.json").read_text(encoding="utf-8"))["files"]
+        text = spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0]
+        files = json.loads(text)["files"]
         entries = [(Path(f["path"]).name, f["sha256"].lower()) for f in files]
-    except (OSError, ValueError, KeyError, TypeError, AttributeError):
+    except (AnalysisException, ValueError, KeyError, TypeError, AttributeError):
         entries = []
     m = spark.createDataFrame(entries, "name string, want string")
     have = digests(spark, folder).where("name <> 'manifest.json'")

@@ -89,3 +89,45 @@ def test_privacy(spark):
     assert [r[0] for r in x.select(privacy.ungrounded(F.col("a"), F.col("s"))).collect()] == [["45"], ["02", "2021-01-01", "EMP-02", "non"]]
     keys = spark.createDataFrame([(["a"], 0), (["b"], 0), (["z"], 0), (["a"], 2)], "k array<string>, n int")
     assert [r[0] for r in keys.select(privacy.flow_decision(F.col("k"), {"a": "public", "b": "secret"}, ["public"], F.col("n"), True)).collect()] == ["allow", "block: class", "block: unclassified", "block: leak"]
+
+
+def test_encoding_follows_from_the_whole_file(spark, tmp_path):
+    # the only accent lies far behind; lines are counted the same by one task and by many
+    body = "Code;Autre\n" + "".join(f"{i};x\n" for i in range(20_000)) + "99;fin d'été €\n\n7;\n"
+    for encoding in ("cp1252", "utf-8-sig"):
+        (tmp_path / "late.csv").write_bytes(body.encode(encoding))
+        whole, split = (files.read_csv(spark, tmp_path / "late.csv", lines) for lines in (False, True))
+        got = sorted(map(tuple, whole.collect()))
+        assert got == sorted(map(tuple, split.collect())) and got[-2:] == [(20_002, "99", "fin d'été €"), (20_003, "7", None)] and len(got) == 20_002
+
+
+def test_all_sheets(spark, tmp_path):
+    xlsx(tmp_path / "m.xlsx", [NAMES, *ROWS])
+    got = files.read_sheets(spark, tmp_path / "m.xlsx")
+    assert list(got) == ["F1"] and got["F1"].count() == 2
+    with pytest.raises(ValueError, match="no sheet"):
+        files.read_sheets(spark, tmp_path / "m.xlsx", ["F2"])
+
+
+def test_secrets_of_several_words_are_replaced_and_restored(spark):
+    people = spark.createDataFrame([("71",), ("70-A",), (None,), ("70-A",)], "person string")
+    names = spark.createDataFrame([("70-A", "St-Onge"), ("70-A", "Marie-Ève"), ("71", "O'Neil"), ("71", "Li")], "person string, value string")
+    d = privacy.secrets(people, {"NOM": names}, [spark.createDataFrame([("Chef, Gabriel",), ("St-Onge",), (None,), ("",)], "v string")])
+    assert {tuple(r) for r in d.collect()} == {("70 A", "EMP-01"), ("71", "EMP-02"), ("St Onge", "NOM-EMP-01"), ("Marie Ève", "NOM-EMP-01"), ("O Neil", "NOM-EMP-02"), ("Chef Gabriel", "[MASQUE]")}
+    texts = spark.createDataFrame([(1, "Marie-Ève St-Onge (70-A) a vu M. O'Neil et Chef  Gabriel; 171, 71."), (2, None), (3, ""), (4, "Étoile St-Ongeais, a.b@c.ca, 12345678")], "id int, t string")
+    out = {r["id"]: r["t"] for r in privacy.pseudonymize(texts, "id", "t", d, "key").collect()}
+    assert out == {1: "NOM-EMP-01 NOM-EMP-01 (EMP-01) a vu M. NOM-EMP-02 et [MASQUE]; 171, EMP-02.", 2: None, 3: "", 4: "Étoile St-Ongeais, [COURRIEL], [NUMERO]"}
+    assert {tuple(r) for r in privacy.known_leaks(texts, "id", "t", d, "key").collect()} == {(1, 6)}
+    back = spark.createDataFrame([(r"$1\x", "EMP-01"), ("Li", "NOM-EMP-01")], "key string, token string")
+    told = spark.createDataFrame([(1, "EMP-01, NOM-EMP-01 et EMP-011")], "id int, t string")
+    assert privacy.restore(told, "id", "t", back, "key").first()["t"] == r"$1\x, Li et EMP-011"
+    assert privacy.pseudonymize(texts, "id", "t", d.where("false"), "key").where("id = 1").first()["t"].startswith("Marie-Ève")
+    assert [privacy.provider_class(x) for x in (None, "http://localhost:8080/v1", "https://models.example.org")] == ["LOCAL", "LOCAL", "EXTERNE"]
+
+
+def test_answers_are_checked(spark):
+    good = '{"synthese": "La valeur 40 diffère du 2020-01-02.", "preuves": ["src:1"]}'
+    rows = [(1, good), (2, "no"), (3, '{"synthese": "La valeur 40 diffère du reste.", "preuves": ["src:9"]}'), (4, good.replace("40", "41")), (5, '{"synthese": "court", "preuves": []}'), (6, good[:-1] + ', "autre": 1}'), (7, None), (8, good.replace('["src:1"]', '["src:1", "src:1"]')), (9, good.replace('["src:1"]', "7"))]
+    context = spark.createDataFrame([(i, "expected 40 on 2020-01-02", ["src:1", "tgt:2"]) for i in range(1, 10)], "id int, payload string, evidence array<string>")
+    got = {r["id"]: r["status"] for r in privacy.checked_answers(spark.createDataFrame(rows, "id int, answer string"), context, "id").collect()}
+    assert got == {1: "OK", 2: "NOT_JSON", 3: "CITATION", 4: "UNGROUNDED", 5: "SCHEMA", 6: "SCHEMA", 7: "NOT_JSON", 8: "CITATION", 9: "SCHEMA"}
