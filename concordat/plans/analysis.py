@@ -414,6 +414,13 @@ _ALL_PAIRS = R.sql_evaluated(list(MAPPING.fields)).removeprefix("with ").replace
 _P5 = {x: (t, n, k) for x, t, n, k in (("A", "rh_source", "Matricule", "upper(trim(TypeAffectation))"), ("B", "temps_target", "personId", f"case when {sql_bool('isPrimaryAssignment')} = 'true' then 'P' when {sql_bool('isTemporaryAssignment')} = 'true' then 'A' else 'S' end"))}
 _P5_SIDE = {x: f"(select * from (select {sql_code(n)} person_id, {k} assignment_type, " + ", ".join(f"""{R._sql_comparable(f[2], chr(34) + f[1 if x == 'A' else 0] + chr(34))} v{i}""" for i, f in enumerate(COMPARED)) + f", charge_le, row_id from {t}) where person_id is not null and assignment_type is not null qualify row_number() over (partition by person_id, assignment_type order by charge_le desc, row_id desc) = 1)" for x, (t, n, k) in _P5.items()}
 
+_ORIGINS = {"date": lambda c: f"strftime({sql_date(c)}, '%Y-%m-%d')", "number": sql_plain_number}
+_CANDIDATES = f"with {R._PAIRS}, q as (select * replace (coalesce(\"DateEntréePoste\", onboardDate) as onboardDate) from p), u as (" + " union all ".join(
+    f"""select '{f.target}' target_field, '{c}' col, count(*) filter (where {_ORIGINS[f.kind](chr(34) + c + chr(34))} = t) hits, count(*) filter (where {_ORIGINS[f.kind](chr(34) + c + chr(34))} = t and e is distinct from t) explains, count(*) population, count(*) filter (where e is not distinct from t and not bad) good, count(*) filter (where e is distinct from t or bad) n_bad from (select *, {_ORIGINS[f.kind](chr(34) + f.target + chr(34))} t, {_ORIGINS[f.kind](chr(34) + f.sources[0] + chr(34))} e, {R._bad(f.kind, chr(34) + f.sources[0] + chr(34))} bad from q) where t is not null"""
+    for f in MAPPING.fields if f.kind in ("date", "number") and f.rule == "direct"
+    for c in ("DateEmbaucheRécente", "DateEntréePoste", "DateEffetRaison", "HeuresNormeHebdo", "HeuresNormeQuotidienne") if c not in f.sources
+) + f") select target_field, col, hits, explains, population, round(hits / population, 6) support, round(good / population, 6) mapped_support from u where n_bad > 0 and population >= {H['alt_source_count']} and round(hits / population, 6) >= {H['alt_source_support']} and round(hits / population, 6) > round(good / population, 6) and explains >= 1"
+
 SQL: dict[str, str] = {
     "verdict_counts_all": f"with {_MATCHED}, {_ALL_PAIRS} select v.verdict, count(ev.verdict) + case when v.verdict = 'ANOMALIE' then (select count(*) from mt where l is null or r is null) else 0 end n from (select unnest(['CONFORME', 'JUSTIFIE', 'ANOMALIE', 'INDETERMINE']) verdict) v left join ev on ev.verdict = v.verdict and ev.active group by 1",
     "p5_differences": f"with j as (select coalesce(a.person_id, b.person_id) person_id, coalesce(a.assignment_type, b.assignment_type) assignment_type, a.person_id is null no_a, b.person_id is null no_b, {', '.join(f'a.v{i} a{i}, b.v{i} b{i}' for i in range(len(COMPARED)))} from {_P5_SIDE['A']} a full join {_P5_SIDE['B']} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type) select person_id, assignment_type, 'missing_in_target' fld, cast(null as varchar) expected, cast(null as varchar) target from j where no_b union all select person_id, assignment_type, 'missing_in_source', null, null from j where no_a union all "
@@ -449,6 +456,7 @@ SQL: dict[str, str] = {
     "pseudonymize_documents": f"with {_SECRETS}, z as (select d.doc_id, list_reduce(coalesce(t, []), lambda acc, x: {_SUB.replace('regexp_replace(acc', 'regexp_replace(' + _SUB, 1)}, regexp_replace(text, '{privacy.EMAIL}', '{privacy.EMAIL_MASK}', 'g')) y from documents d left join hits using (doc_id) where text is not null) select doc_id, {_LONG('y')} as text from z",
     "repair_surnames": f"select row_id, surname, {R.sql_repair('surname')} repaired from temps_target where {R.sql_repair('surname')} <> surname",
     "file_integrity": "select 'motifs.csv' as name, 'INCHANGE' status, count(*) rows_read, 2 first_row from motifs",
+    "candidate_rules": _CANDIDATES,
     "usable_columns": "select * from (unpivot (select " + ", ".join(f"coalesce(bool_or({sql_date(chr(34) + c + chr(34))} is not null), false) as " + chr(34) + c + chr(34) for c in R.SOURCE_COLUMNS) + " from rh_source) on columns(*) into name col value usable)",
     "latest_position_record": f"""with r as (select {sql_code('IdentifiantPoste')} poste, {sql_effective('DateEffetAffectation')} eff, {sql_code('"CodeDirectionAffectée"')} unit, detail_id from poste_detail) select poste, strftime(eff, '%Y-%m-%d') effective, coalesce(unit, '') unit, detail_id from r where poste is not null and eff is not null qualify row_number() over (partition by poste order by eff desc, detail_id desc) = 1""",
     "pair_sheet": f"with {_MATCHED} select coalesce(ka.person_id, kb.person_id) person_id, coalesce(ka.k, kb.k) assignment_key, method, score, ka.assignment_type source_type, kb.assignment_type target_type, ka.CodePoste poste, ka.CodeEmploi emploi_source, kb.positionId emploi_target from mt left join ka on ka.row_id = mt.l left join kb on kb.row_id = mt.r",
