@@ -232,8 +232,3 @@ def comparable(kind: str, c: Column) -> Column:
 def zfill(c: Column, n: int) -> Column:
     """Zeros on the left up to n characters; never cuts."""
     return F.when(F.length(c) >= n, c).otherwise(F.lpad(c, n, "0"))
-
-
-def name_key(c: Column) -> Column:
-    """Lower case letters and digits only."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")

@@ -217,7 +217,12 @@ def rule_interval(rows: DataFrame) -> DataFrame:
 
 
 def evaluate(pairs: DataFrame, mapping: Mapping) -> DataFrame:
-    """One row per pair, field and reading (active and alternatives). `pairs` holds matched pairs: person_id,
+    """One row per pair, field and reading (active and alternatives); see families()."""
+    return reduce(DataFrame.unionByName, [x for x, _ in families(pairs, mapping)])
+
+
+def families(pairs: DataFrame, mapping: Mapping) -> list[tuple[DataFrame, bool]]:
+    """The evaluated rows of each family of rules, and whether any of its fields has readings. `pairs` holds matched pairs: person_id,
     assignment_key, l, r, a_<source columns>, b_<target columns>, unit_start, unit_end, history_note, lookup_reason,
     codes_disagree, and CodeGestionAccès as the lookup gives it.
 
@@ -238,7 +243,7 @@ def evaluate(pairs: DataFrame, mapping: Mapping) -> DataFrame:
             return "lookup_reason", "codes_disagree"
         return None, None
 
-    out = None
+    out = []
     for family, fields in groups.items():
         parts = [fields] if family != "decision_table" else [[f] for f in fields]
         for fs in parts:
@@ -260,7 +265,7 @@ def evaluate(pairs: DataFrame, mapping: Mapping) -> DataFrame:
                 done = rule_flag(rows, mapping)
             else:
                 done = rule_interval(rows)
-            out = done if out is None else out.unionByName(done)
+            out.append((done, any(f.interpretation for f in fs)))
     return out
 
 
@@ -277,11 +282,31 @@ def findings(evaluated: DataFrame, missing: DataFrame | None = None) -> DataFram
     own = F.when(F.col("reading").isNotNull(), F.array(F.struct(F.lit("reading").alias("k"), F.col("reading").alias("v")))).otherwise(F.expr("cast(array() as array<struct<k:string,v:string>>)"))
     x = x.withColumn("rule_params", F.map_from_entries(F.concat(own, told)))
     differs = F.exists("_alt", lambda a: a["verdict"] != F.col("verdict"))
-    x = x.withColumn("confidence", F.when(differs & (F.col("confidence") == "ELEVEE"), "MOYENNE").otherwise(F.col("confidence"))).drop("_alt", "active")
-    x = x.withColumn("finding_id", F.concat_ws(":", "person_id", "assignment_key", "target_field"))
+    x = x.withColumn("confidence", F.when(differs & (F.col("confidence") == "ELEVEE"), "MOYENNE").otherwise(F.col("confidence"))).drop("_alt")
+    return _with(_named(x), missing)
+
+
+def _named(x: DataFrame) -> DataFrame:
+    return x.drop("active").withColumn("finding_id", F.concat_ws(":", "person_id", "assignment_key", "target_field"))
+
+
+def _with(x: DataFrame, missing: DataFrame | None) -> DataFrame:
     return x if missing is None else x.unionByName(missing, allowMissingColumns=True)
 
 
+def judge(pairs: DataFrame, mapping: Mapping, missing: DataFrame | None = None) -> DataFrame:
+    """findings(evaluate(pairs)), family by family: where a family's fields have one reading there is nothing to fold."""
+    none = F.expr("cast(map() as map<string,string>)")
+    parts = [findings(x) if several else _named(x.withColumns({"alternatives": none, "rule_params": none})) for x, several in families(pairs, mapping)]
+    return _with(reduce(DataFrame.unionByName, parts), missing)
+
+
+def readings(findings: DataFrame) -> DataFrame:
+    """(target_field, reading, active, verdict) of every reading of findings, as agreement() takes them."""
+    each = F.concat(F.array(F.struct(F.col("reading").alias("key"), F.col("verdict").alias("value"), F.lit(True).alias("active"))), F.transform(F.map_entries("alternatives"), lambda e: F.struct(e["key"], e["value"], F.lit(False))))
+    return findings.where("reading is not null").select("target_field", F.explode(each).alias("x")).select("target_field", F.col("x.key").alias("reading"), "x.active", F.col("x.value").alias("verdict"))
+
+
 def summary(columns: Sequence[str]) -> Column:
     """`name=value, ...` of the columns that hold something."""
     return F.concat_ws(", ", *[F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(c.removeprefix(A).removeprefix(B) + "="), F.col(c))) for c in columns])

@@ -213,6 +213,17 @@ def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
     return m.select("finding_id", "id", F.col("vals")["part"].alias("part"), F.col("vals")["supp"].alias("supp"))
 
 
+def finding_json(spark: SparkSession, d: str) -> DataFrame:
+    """Anomalies of `unit` as nested JSON."""
+    f = faulty(spark, d).where("verdict = 'ANOMALIE' and target_field = 'unit'").select("finding_id", "target_field", "expected", "target_raw", F.array("segment", "nation").alias("tags"))
+    return report.nested_json(f)
+
+
+def clipped_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The first 80 characters of each document on one line."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", privacy.clip(F.col("text"), 80).alias("clipped"))
+
+
 # ---------------------------------------------------------------- privacy
 def leak_scan_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", privacy.leaks(F.col("text")).cast("int").alias("n_leaks"))
@@ -313,6 +324,17 @@ def normalize_states(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    """Names as text, without accents, and as loose text."""
+    t = table(spark, d, "rh_source")
+    return t.select("row_id", *[x for c in ("NomFamille", "PrénomUsuel") for x in (K.text(F.col(c)).alias(f"{c}_text"), K.strip_accents(K.text(F.col(c))).alias(f"{c}_plain"), K.text_loose(F.col(c)).alias(f"{c}_loose"))])
+
+
+def padded_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Unit codes with zeros on the left up to four characters; longer ones stay whole."""
+    return table(spark, d, "rh_source").select("row_id", K.zfill(K.code(F.col("CodeDirection")), 4).alias("unit"))
+
+
 def repair_surnames(spark: SparkSession, d: str) -> DataFrame:
     """Surnames whose common encoding fault the core normaliser repairs."""
     t = table(spark, d, "temps_target").select("row_id", "surname")
@@ -333,12 +355,14 @@ def latest_position_record(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_sheet(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of both systems and the rows without partner."""
-    return pipeline.pair_sheet(spark, d, R.matched(spark, d), MAPPING).drop("l", "r")
+    t = R.prepared(spark, d)
+    return pipeline.pair_sheet(spark, t, R.matched(spark, t), MAPPING).drop("l", "r")
 
 
 def missing_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings on assignments that one system only holds."""
-    alone = R.unmatched(spark, d, R.matched(spark, d))
+    t = R.prepared(spark, d)
+    alone = R.unmatched(spark, t, R.matched(spark, t))
     return verdicts.missing_findings(alone, MAPPING).select("finding_id", "l", "r", "criticality", "subcategory", F.coalesce("source_raw", "target_raw").alias("held"))
 
 
@@ -348,7 +372,7 @@ def candidate_rules(spark: SparkSession, d: str) -> DataFrame:
     fields = [f for f in MAPPING.fields if f.kind in ("date", "number") and f.rule == "direct"]
     pairs = materialize(R.pairs_for(spark, d, fields, all_columns=True).withColumn("b_onboardDate", F.coalesce("a_DateEntréePoste", "b_onboardDate")), "pairs")
     m = MAPPING.only(fields)
-    f = materialize(verdicts.findings(verdicts.evaluate(pairs, m)), "findings")
+    f = materialize(verdicts.judge(pairs, m), "findings")
     columns = ["DateEmbaucheRécente", "DateEntréePoste", "DateEffetRaison", "HeuresNormeHebdo", "HeuresNormeQuotidienne"]
     return hypotheses.candidate_rules(hypotheses.alternative_sources(f, pairs, m, columns), m)
 
@@ -457,6 +481,10 @@ SQL: dict[str, str] = {
     "repair_surnames": f"select row_id, surname, {R.sql_repair('surname')} repaired from temps_target where {R.sql_repair('surname')} <> surname",
     "file_integrity": "select 'motifs.csv' as name, 'INCHANGE' status, count(*) rows_read, 2 first_row from motifs",
     "candidate_rules": _CANDIDATES,
+    "finding_json": f"with {_F} select finding_id, to_json({{'finding_id': finding_id, 'target_field': target_field, 'expected': expected, 'target_raw': target_raw, 'tags': [segment, nation]}})::varchar as json from f where verdict = 'ANOMALIE' and target_field = 'unit'",
+    "clipped_documents": f"with x as (select doc_id, trim(regexp_replace(text, '{R._WS}', ' ', 'g')) t from documents where text is not null) select doc_id, case when length(t) > 80 then rtrim(left(t, 79)) || '…' else t end clipped from x",
+    "normalize_text": "select row_id, " + ", ".join(f"""{R.sql_clean(chr(34) + c + chr(34))} "{c}_text", {R.sql_strip_accents(R.sql_clean(chr(34) + c + chr(34)))} "{c}_plain", replace(lower({R.sql_strip_accents(R.sql_clean(chr(34) + c + chr(34)))}), 'ß', 'ss') "{c}_loose" """ for c in ("NomFamille", "PrénomUsuel")) + " from rh_source",
+    "padded_codes": f"select row_id, case when length(u) >= 4 then u else lpad(u, 4, '0') end unit from (select row_id, {sql_code('CodeDirection')} u from rh_source)",
     "usable_columns": "select * from (unpivot (select " + ", ".join(f"coalesce(bool_or({sql_date(chr(34) + c + chr(34))} is not null), false) as " + chr(34) + c + chr(34) for c in R.SOURCE_COLUMNS) + " from rh_source) on columns(*) into name col value usable)",
     "latest_position_record": f"""with r as (select {sql_code('IdentifiantPoste')} poste, {sql_effective('DateEffetAffectation')} eff, {sql_code('"CodeDirectionAffectée"')} unit, detail_id from poste_detail) select poste, strftime(eff, '%Y-%m-%d') effective, coalesce(unit, '') unit, detail_id from r where poste is not null and eff is not null qualify row_number() over (partition by poste order by eff desc, detail_id desc) = 1""",
     "pair_sheet": f"with {_MATCHED} select coalesce(ka.person_id, kb.person_id) person_id, coalesce(ka.k, kb.k) assignment_key, method, score, ka.assignment_type source_type, kb.assignment_type target_type, ka.CodePoste poste, ka.CodeEmploi emploi_source, kb.positionId emploi_target from mt left join ka on ka.row_id = mt.l left join kb on kb.row_id = mt.r",
@@ -491,7 +519,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hyp_systemic, hyp_bijection, hyp_permutation, hyp_type_absent, probable_cause, priority_score, priority_topk, patterns, feedback_rules, feedback_preview, feedback_corrections, feedback_suggestions,
         pattern_findings, persons_by_priority, field_examples, field_order, finding_labels, agreement_percent, finding_problems, priority_breakdown, feedback_status, usable_columns, answer_checks, unexplained, secret_tokens, known_leaks,
         report_records, evidence_rows, evidence_merge, tokens_positions, leak_scan_documents, mask_documents, pseudonymize_documents, grounding_check, dossier_per_person, flow_decisions,
-        latest_position_record, pair_sheet, missing_findings, candidate_rules,
+        finding_json, clipped_documents, normalize_text, padded_codes, latest_position_record, pair_sheet, missing_findings, candidate_rules,
         excel_serial_dates, normalize_code, normalize_bool, normalize_number, normalize_date, normalize_states, repair_surnames, config_gaps, file_integrity,
     )
 }

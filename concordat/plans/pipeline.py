@@ -38,7 +38,7 @@ class Run:
 
     mapping: Mapping
     pairs: DataFrame
-    evaluated: DataFrame
+    readings: DataFrame
     findings: DataFrame
     verified: DataFrame
     alternatives: DataFrame
@@ -65,7 +65,7 @@ class Run:
             "counts": verdicts.verdict_counts(f),
             "by_field": verdicts.verdict_by_field(f),
             "pairs": self.pairs,
-            "readings": verdicts.agreement(self.evaluated, self.mapping),
+            "readings": verdicts.agreement(self.readings, self.mapping),
             "patterns": hypotheses.described(hypotheses.patterns(self.verified)),
             "pattern_findings": hypotheses.pattern_findings(self.verified),
             "candidate_rules": self.candidates(),
@@ -93,13 +93,12 @@ def run(spark: SparkSession, d: R.Tables, mapping: Mapping = R.MAPPING, store: S
     every reading; hypotheses over all findings; the experts' rules and corrections; priorities last, so that they follow
     the verdicts as they then stand. Causes never change a verdict.
     """
-    h = mapping.hypotheses
+    h, d = mapping.hypotheses, R.prepared(spark, d, mapping)
     matched = R.matched(spark, d, mapping)
     pairs, columns = R.with_origins(spark, d, R.pairs_for(spark, d, mapping.fields, all_columns=True, pairs=matched, mapping=mapping), mapping)
     pairs = materialize(pairs, "pairs")
     alone = materialize(R.unmatched(spark, d, matched, mapping), "alone")
-    evaluated = materialize(verdicts.evaluate(pairs, mapping), "evaluated")
-    found = materialize(report.explained(verdicts.findings(evaluated, verdicts.missing_findings(alone, mapping)), mapping), "findings")
+    found = materialize(report.explained(verdicts.judge(pairs, mapping, verdicts.missing_findings(alone, mapping)), mapping), "findings")
     alternatives = materialize(hypotheses.alternative_sources(found, pairs, mapping, columns), "alternatives")
     rules = hypotheses.candidate_rules(alternatives, mapping)
     missing = found.where("rule = 'missing'").join(alone.where("r is null and assignment_type is not null").select("l", "assignment_type"), "l")
@@ -118,7 +117,7 @@ def run(spark: SparkSession, d: R.Tables, mapping: Mapping = R.MAPPING, store: S
     if store is not None:
         caused, status = judged(caused, pairs, columns, mapping, store)
     scored = report.told(hypotheses.prioritised(caused, mapping.scoring))
-    return Run(mapping, pair_sheet(spark, d, matched, mapping), evaluated, materialize(scored, "scored"), verified, alternatives, status, None, params or {})
+    return Run(mapping, pair_sheet(spark, d, matched, mapping), verdicts.readings(found), materialize(scored, "scored"), verified, alternatives, status, None, params or {})
 
 
 def judged(found: DataFrame, pairs: DataFrame, columns: Sequence[str], mapping: Mapping, store: Store) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +167,7 @@ def run_bundle(spark: SparkSession, folder: str | Path, mapping: Mapping = R.MAP
     store = Store.load(feedback_path, [f.target for f in mapping.fields]) if feedback_path else None
     done = run(spark, tables, chosen, store, {"folder": str(folder), "mapping": mapping, "choices": dict(choices or {}), "feedback_path": feedback_path, "strict_manifest": strict_manifest})
     integrity = materialize(files.unchanged(before, files.digests(spark, folder)), "integrity")
-    return Run(done.mapping, done.pairs, done.evaluated, done.findings, done.verified, done.alternatives, done.feedback, integrity, done.params)
+    return Run(done.mapping, done.pairs, done.readings, done.findings, done.verified, done.alternatives, done.feedback, integrity, done.params)
 
 
 def rerun(spark: SparkSession, before: Run, **changes: Any) -> Run:

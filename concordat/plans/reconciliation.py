@@ -60,6 +60,15 @@ def side(spark: SparkSession, d: Tables, system: str, keyless: bool = False, map
     return latest(rows.where("person_id is not null"), key, ["charge_le", "row_id"]).unionByName(rows.where("person_id is null"))
 
 
+def prepared(spark: SparkSession, d: Tables, mapping: Mapping = MAPPING) -> dict[str, DataFrame]:
+    """The tables with one row an assignment, written once, for plans that go over the two systems again and again."""
+    out = {n: table(spark, d, n) for n in ("poste_detail", "motifs")}
+    for system, name in (("A", "rh_source"), ("B", "temps_target")):
+        t = table(spark, d, name)
+        out[name] = t if "charge_le" not in t.columns else materialize(side(spark, d, system, True, mapping).drop("charge_le", "person_id", "assignment_type"), name)
+    return out
+
+
 def similarity_values(system: str, mapping: Mapping = MAPPING) -> list[Column]:
     """The fields that pairs are scored by, as comparable text v0, v1 ..."""
     return [K.comparable(x.kind, F.col(x.source if system == "A" else x.target)).alias(f"v{i}") for i, x in enumerate(mapping.similarity)]
@@ -169,7 +178,7 @@ def _family(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def all_findings(spark: SparkSession, d: str, fields: Sequence[Field] = MAPPING.fields) -> DataFrame:
-    return verdicts.findings(evaluated(spark, d, fields))
+    return verdicts.judge(materialize(pairs_for(spark, d, fields), "pairs"), MAPPING.only(fields))
 
 
 def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -182,9 +191,10 @@ def verdict_by_field(spark: SparkSession, d: str) -> DataFrame:
 
 def whole_findings(spark: SparkSession, d: str) -> DataFrame:
     """All fields of all matched pairs, those across types included, and the assignments that one system only holds."""
-    found = matched(spark, d)
-    pairs = materialize(pairs_for(spark, d, MAPPING.fields, pairs=found), "pairs")
-    return verdicts.findings(verdicts.evaluate(pairs, MAPPING), verdicts.missing_findings(unmatched(spark, d, found), MAPPING))
+    t = prepared(spark, d)
+    found = matched(spark, t)
+    pairs = materialize(pairs_for(spark, t, MAPPING.fields, pairs=found), "pairs")
+    return verdicts.judge(pairs, MAPPING, verdicts.missing_findings(unmatched(spark, t, found), MAPPING))
 
 
 def verdict_counts_all(spark: SparkSession, d: str) -> DataFrame:
@@ -260,7 +270,7 @@ def unit_intervals(spark: SparkSession, d: str) -> DataFrame:
 def _investigated_dates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     fields = FAMILIES["verdict_assignment_dates"]
     pairs = materialize(pairs_for(spark, d, fields), "pairs")
-    return verdicts.findings(verdicts.evaluate(pairs, MAPPING.only(fields))), pairs
+    return verdicts.judge(pairs, MAPPING.only(fields)), pairs
 
 
 def hyp_history_record(spark: SparkSession, d: str) -> DataFrame:
@@ -278,7 +288,7 @@ def alt_source_support(spark: SparkSession, d: str) -> DataFrame:
     alt_source_all takes all columns and fields."""
     fields = FAMILIES["verdict_direct_code"]
     pairs = materialize(pairs_for(spark, d, fields, all_columns=True), "pairs")
-    f = verdicts.findings(verdicts.evaluate(pairs, MAPPING.only(fields)))
+    f = verdicts.judge(pairs, MAPPING.only(fields))
     columns = ["CodeEmploi", "CodeDirection", "CodeImputation", "CodeSite", "ÉchelleSalariale", "CodePoste", "CodeStatutEmploi", "CodeQuart"]
     return hypotheses.alternative_sources(f, pairs, MAPPING.only(fields), columns)
 
@@ -300,9 +310,10 @@ def with_origins(spark: SparkSession, d: Tables, pairs: DataFrame, mapping: Mapp
 
 
 def _alt_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str], DataFrame]:
-    pairs, columns = with_origins(spark, d, pairs_for(spark, d, MAPPING.fields, all_columns=True, pairs=matched(spark, d)))
+    t = prepared(spark, d)
+    pairs, columns = with_origins(spark, t, pairs_for(spark, t, MAPPING.fields, all_columns=True, pairs=matched(spark, t)))
     pairs = materialize(pairs, "pairs")
-    f = materialize(verdicts.findings(verdicts.evaluate(pairs, MAPPING)), "findings")
+    f = materialize(verdicts.judge(pairs, MAPPING), "findings")
     return f, pairs, columns, hypotheses.alternative_sources(f, pairs, MAPPING, columns)
 
 
