@@ -303,7 +303,7 @@ def judge(pairs: DataFrame, mapping: Mapping, missing: DataFrame | None = None)
 
 def readings(findings: DataFrame) -> DataFrame:
     """(target_field, reading, active, verdict) of every reading of findings, as agreement() takes them."""
-    each = F.concat(F.array(F.struct(F.col("reading").alias("key"), F.col("verdict").alias("value"), F.lit(True).alias("active"))), F.transform(F.map_entries("alternatives"), lambda e: F.struct(e["key"], e["value"], F.lit(False))))
+    each = F.concat(F.array(F.struct(F.col("reading").alias("key"), F.col("verdict").alias("value"), F.lit(True).alias("active"))), F.transform(F.map_entries("alternatives"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(False).alias("active"))))
     return findings.where("reading is not null").select("target_field", F.explode(each).alias("x")).select("target_field", F.col("x.key").alias("reading"), "x.active", F.col("x.value").alias("verdict"))
 
 
