@@ -445,7 +445,37 @@ _CANDIDATES = f"with {R._PAIRS}, q as (select * replace (coalesce(\"DateEntréeP
     for c in ("DateEmbaucheRécente", "DateEntréePoste", "DateEffetRaison", "HeuresNormeHebdo", "HeuresNormeQuotidienne") if c not in f.sources
 ) + f") select target_field, col, hits, explains, population, round(hits / population, 6) support, round(good / population, 6) mapped_support from u where n_bad > 0 and population >= {H['alt_source_count']} and round(hits / population, 6) >= {H['alt_source_support']} and round(hits / population, 6) > round(good / population, 6) and explains >= 1"
 
+# The columns of the positions' records and of the lookup that may be another origin.
+_DETAIL = ["IdentifiantPoste", "IdentifiantEmploi", "CodeDirectionAffectée", "DateEffetAffectation", "CodeBudget", "IndicateurGestion", "CodePosteSecondaire", "HeuresSemaineContrat", "HeuresJourContrat", "JoursTravailléesSemaine"]
+_LOOKUP = ["CodeCatégorieStatut", "CodeStatutSystèmeExterne", "CodeGestionAccès"]
+
+
+def _sql_origins() -> str:
+    """CTEs up to `alt`: every column of the three tables against every field of the matched pairs."""
+    q = lambda c: chr(34) + c + chr(34)
+    own = [c for c in R.SOURCE_COLUMNS if c not in H["excluded_columns"]]
+    cells = [(c, f"p.{q(c)}") for c in own] + [(f"poste_detail:{c}", f"h.{q(c)}") for c in _DETAIL] + [(f"motifs:{c}", f"m.{q(c)}") for c in _LOOKUP]
+    forms = {"code": sql_code("v"), "date": f"strftime({sql_date('v')}, '%Y-%m-%d')", "number": sql_plain_number("v"), "bool": sql_bool("v"), "text": R.sql_clean("v"), "text_loose": f"replace(lower({R.sql_strip_accents(R.sql_clean('v'))}), 'ß', 'ss')"}
+    kinds = ", ".join(f"('{f.target}', '{f.kind}')" for f in MAPPING.fields)
+    mine = ", ".join(f"('{f.target}', '{c}')" for f in MAPPING.fields for c in f.sources)
+    detail = ", ".join(f"strftime(eff, '%Y-%m-%d') {q(c)}" if c == "DateEffetAffectation" else q(c) for c in _DETAIL)
+    return f"""{_MATCHED}, {_ALL_PAIRS},
+ h as (select {sql_code('IdentifiantPoste')} poste, {detail} from (select *, {sql_effective('DateEffetAffectation')} eff from poste_detail) where {sql_code('IdentifiantPoste')} is not null and eff is not null qualify row_number() over (partition by {sql_code('IdentifiantPoste')} order by eff desc, detail_id desc) = 1),
+ m as (select {sql_code(q('CodeCatégorieStatut'))} reason, * from motifs qualify row_number() over (partition by {sql_code(q('CodeCatégorieStatut'))} order by {q('CodeCatégorieStatut')} desc) = 1),
+ cell as (select person_id, assignment_key, unnest(cs, recursive := true) from (select p.person_id, p.assignment_key, [{', '.join(f"{{'col': '{n}', 'v': {v}}}" for n, v in cells)}] cs from p left join h on h.poste = {sql_code('p.CodePoste')} left join m on m.reason = {sql_code('p.CodeRaisonStatut')})),
+ forms as (select *, {', '.join(f'{v} f_{k}' for k, v in forms.items())} from cell where v is not null),
+ fk(target_field, kind) as (values {kinds}), mine(target_field, col) as (values {mine}),
+ found as (select ev.*, kind from ev join fk using (target_field) where active and target_norm is not null),
+ per as (select target_field, count(*) population, count(*) filter (where verdict in ('CONFORME', 'JUSTIFIE')) agreeing, count(*) filter (where verdict in ('ANOMALIE', 'INDETERMINE')) bad from found group by 1),
+ hit as (select f.person_id, f.assignment_key, f.target_field, c.col, f.verdict in ('ANOMALIE', 'INDETERMINE') wrong from found f join forms c using (person_id, assignment_key) where f.target_norm = case f.kind {' '.join(f"when '{k}' then f_{k}" for k in forms)} end),
+ names as (select unnest([{', '.join(f"'{n}'" for n, _ in cells)}]) col),
+ alt as (select per.target_field, names.col, count(hit.target_field) hits, count(hit.target_field) filter (where wrong) explains, any_value(population) population, round(count(hit.target_field) / any_value(population), 6) support, round(any_value(agreeing) / any_value(population), 6) mapped_support
+  from per cross join names left join hit on hit.target_field = per.target_field and hit.col = names.col where bad > 0 and (per.target_field, names.col) not in (select target_field, col from mine) group by all)"""
+
+
 SQL: dict[str, str] = {
+    "alt_source_all": f"with {_sql_origins()} select * from alt",
+    "hyp_alt_source": f"with {_sql_origins()}, rules as (select * from alt where population >= {H['alt_source_count']} and support >= {H['alt_source_support']} and support > mapped_support and explains >= 1) select hit.person_id || ':' || hit.assignment_key || ':' || hit.target_field finding_id, hit.target_field, hit.col detail, support from hit join rules using (target_field, col) where wrong",
     "verdict_counts_all": f"with {_MATCHED}, {_ALL_PAIRS} select v.verdict, count(ev.verdict) + case when v.verdict = 'ANOMALIE' then (select count(*) from mt where l is null or r is null) else 0 end n from (select unnest(['CONFORME', 'JUSTIFIE', 'ANOMALIE', 'INDETERMINE']) verdict) v left join ev on ev.verdict = v.verdict and ev.active group by 1",
     "p5_differences": f"with j as (select coalesce(a.person_id, b.person_id) person_id, coalesce(a.assignment_type, b.assignment_type) assignment_type, a.person_id is null no_a, b.person_id is null no_b, {', '.join(f'a.v{i} a{i}, b.v{i} b{i}' for i in range(len(COMPARED)))} from {_P5_SIDE['A']} a full join {_P5_SIDE['B']} b on a.person_id = b.person_id and a.assignment_type = b.assignment_type) select person_id, assignment_type, 'missing_in_target' fld, cast(null as varchar) expected, cast(null as varchar) target from j where no_b union all select person_id, assignment_type, 'missing_in_source', null, null from j where no_a union all "
     + " union all ".join(f"select person_id, assignment_type, '{f[0]}', a{i}, b{i} from j where not no_a and not no_b and a{i} is distinct from b{i}" for i, f in enumerate(COMPARED)),
