@@ -58,7 +58,7 @@ def _integer(s: Column) -> Column:
 
 
 def _plain_number(s: Column) -> Column:
-    x = _integer(F.regexp_replace(s, ",", "."))
+    x = _integer(F.regexp_replace(F.regexp_replace(s, ",", "."), r"^\+?(-?)\.(?=\d)", "$10."))
     x = F.regexp_replace(x, r"^\+?(-?)0*(\d*\.\d*?)0*$", "$1$2")
     x = F.regexp_replace(x, r"^(-?)\.(?=\d)", "$10.")
     return _found(x, r"^(-?\d+(?:\.\d+)?)$")
