@@ -46,9 +46,15 @@ def test_other_origins_are_those_of_brute_force(spark):
     for x in H.alternative_sources(df, pairs, m, COLUMNS).collect():
         got.setdefault(x["target_field"], {})[x["col"]] = (x["hits"], x["explains"], x["population"], x["mapped_support"])
     assert got == {f.target: brute(cells, found, f) for f in FIELDS}
+    rules = spark.createDataFrame([(f.target, c, 0.5) for f in FIELDS for c in COLUMNS], "target_field string, col string, support double")
+    kinds = {f.target: f.kind for f in FIELDS}
+    want = sorted((x[0], c) for x in found for c in COLUMNS if x[5] in ("ANOMALIE", "INDETERMINE") and x[4] is not None and READ[kinds[x[3]] == "date"].get(cells[x[1]][c]) == x[4])
+    assert sorted((x["finding_id"], x["detail"]) for x in H.alternative_source(df, pairs, m, COLUMNS, rules).collect()) == want and want
 
 
 def test_plans_dont_grow_with_kinds_and_columns(spark):
     _, _, pairs, df = small(spark, 2)
     alternatives = H.alternative_sources(df, pairs, R.MAPPING, COLUMNS)
     assert joins(alternatives) == 1  # one a kind before, with two counts a column
+    rules = spark.createDataFrame([("onboardDate", "CodeQuart", 0.5)], "target_field string, col string, support double")
+    assert joins(H.alternative_source(df, pairs, R.MAPPING, COLUMNS, rules)) == 2
