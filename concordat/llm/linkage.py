@@ -4,7 +4,7 @@
    weight adds up the rarity of every combination shared. A combination that is too common to tell records apart is
    refined by one further attribute after the other, the most telling first, then by attributes that find no candidates
    of their own and by parts of names, so hot values never pair all with all. Records of a common combination that
-   share nothing more meet too: all of them while they are few, else rank by rank.
+   share nothing more meet too, all of them.
 2. Meta-blocking: an edge stays only if its weight is a fair share of the best weight at one of its ends.
 3. Similarity: each attribute's agreement or disagreement adds log-odds; how telling an agreement is follows from how
    often the attribute agrees by chance, measured over all records.
@@ -28,7 +28,8 @@ from concordat.session import materialize
 
 #: A combination of values is telling while it joins at most so many pairs; beyond, it is refined by one more attribute.
 BLOCK_PAIRS = 400
-#: Records of a common combination that share nothing more: so many pairs of it are all candidates.
+#: Default of candidate_graph, not of link: records of a common combination that share nothing more all meet up to so
+#: many pairs.
 REST_PAIRS = 10_000
 #: Letters of a name's first and last part, by which common combinations are refined too.
 PART = 3
@@ -71,7 +72,7 @@ def _twos(hashed: DataFrame, n: int) -> DataFrame:
     return hashed.select("id", F.explode(F.filter(F.array(*items), lambda x: x["key"].isNotNull())).alias("k")).select("id", "k.*")
 
 
-def candidate_graph(left: DataFrame, right: DataFrame, names: Sequence[str], block_pairs: int = BLOCK_PAIRS, refine: Sequence[str] = (), part_of: dict[str, str] | None = None, rest_pairs: int = REST_PAIRS) -> DataFrame:
+def candidate_graph(left: DataFrame, right: DataFrame, names: Sequence[str], block_pairs: int = BLOCK_PAIRS, refine: Sequence[str] = (), part_of: dict[str, str] | None = None, rest_pairs: int | None = REST_PAIRS, task_edges: int = TASK_EDGES) -> DataFrame:
     """(l, r, weight). left, right: `id` and the attributes as comparable text, NULL where missing.
 
     Combinations grow along one order of the attributes (`names`, then `refine`), so each is made once: two of `names`,
@@ -80,8 +81,8 @@ def candidate_graph(left: DataFrame, right: DataFrame, names: Sequence[str], blo
     another is a part of, so that it adds nothing to it.
 
     Records whose shared attributes all together are still common (over `block_pairs`) have equal evidence for every
-    partner there: up to `rest_pairs` pairs all are candidates, in larger groups the k-th of one side, in order of all
-    its values, and the k-th of the other, so that nobody is left without one.
+    partner there: all pairs are candidates. With `rest_pairs` (link gives none) that holds up to so many pairs, and in
+    larger groups the k-th of one side, in order of all its values, and the k-th of the other meet only.
     """
     every, part_of = [*names, *refine], part_of or {}
     bits = F.array(*[F.lit(1 << k) for k in range(len(every))])
@@ -121,23 +122,28 @@ def candidate_graph(left: DataFrame, right: DataFrame, names: Sequence[str], blo
         ahead = nxt.join(shared, ["parent", "key"], "left_semi").select("id", "side", F.col("parent").alias("key")).distinct()
         alone = materialize(common.join(ahead, ["id", "side", "key"], "left_anti").select("id", "side", "key", "na", "nb"), "alone")
         if not alone.isEmpty():
-            add(_rest(alone, common, hashed, rest_pairs, weight))
+            add(_rest(alone, common, hashed, rest_pairs, weight, task_edges))
         a, b = (x.select("id", "key", "mask", "last") for x in split(nxt))
     return edges.groupBy("l", "r").agg(F.sum("w").alias("weight"))
 
 
-def _rest(alone: DataFrame, common: DataFrame, hashed: Sequence[DataFrame], rest_pairs: int, weight: Column) -> DataFrame:
+def _rest(alone: DataFrame, common: DataFrame, hashed: Sequence[DataFrame], rest_pairs: int | None, weight: Column, task_edges: int) -> DataFrame:
     """Edges of the records that share a common combination and nothing more with anybody: with all of the combination
-    while that makes at most `rest_pairs` pairs, else rank by rank, over again until each has met somebody."""
+    while that makes at most `rest_pairs` pairs (None: always), else rank by rank, over again until each has met
+    somebody. A group of more than `task_edges` pairs is dealt to as many tasks as it takes."""
     count = lambda x, n: x.groupBy("key").agg(*[F.count_if(F.col("side") == s).alias(f"{n}{s}") for s in (0, 1)])
-    sizes = count(alone, "m").withColumn("most", F.lit(rest_pairs))
-    sized = materialize(alone.join(sizes, "key"), "rest")
+    pairs = F.greatest(F.col("m0") * F.col("nb"), F.col("m1") * F.col("na"))
+    sized = alone.join(count(alone, "m"), "key").withColumn("parts", F.ceil(pairs / task_edges).cast("int"))
+    sized = materialize(sized, "rest")
     rows = common.select("id", "side", "key", "na", "nb")
-    small = F.greatest(F.col("m0") * F.col("nb"), F.col("m1") * F.col("na")) <= F.col("most")
-    edge = lambda x, y: x.select(F.col("id").alias("l"), "key", weight).join(y.select(F.col("id").alias("r"), "key"), "key").select("l", "r", "w")
+    small = F.lit(True) if rest_pairs is None else pairs <= rest_pairs
     few, many = sized.where(small), sized.where(~small)
-    out = edge(few.where("side = 0"), rows.where("side = 1")).unionByName(edge(rows.where("side = 0"), few.where("side = 1")))
-    if many.isEmpty():
+    # the alone are dealt to the parts of their group, each of which holds all rows of the other side
+    dealt = few.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    whole = rows.join(few.select("key", "parts").distinct(), "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    edge = lambda x, y: x.select(F.col("id").alias("l"), "key", "part", weight).join(y.select(F.col("id").alias("r"), "key", "part"), ["key", "part"]).select("l", "r", "w")
+    out = edge(dealt.where("side = 0"), whole.where("side = 1")).unionByName(edge(whole.where("side = 0"), dealt.where("side = 1")))
+    if rest_pairs is None or many.isEmpty():
         return out
     # both sides in order of all their values: counted per hash range first, so that no window holds a whole group
     order = hashed[0].select("id", F.lit(0).alias("side"), "h").unionByName(hashed[1].select("id", F.lit(1).alias("side"), "h"))
@@ -289,7 +295,7 @@ def link(left: DataFrame, right: DataFrame, attributes: Sequence[Attribute], lea
     chance = _chance(left, right, attributes)
     telling = sorted(attributes, key=lambda a: (chance[a.name], a.name))
     more = [*[a.name for a in telling if not a.block], *parts]
-    graph = prune(materialize(candidate_graph(in_parts, others, [a.name for a in telling if a.block], BLOCK_PAIRS, more, parts), "candidates"))
+    graph = prune(materialize(candidate_graph(in_parts, others, [a.name for a in telling if a.block], BLOCK_PAIRS, more, parts, None), "candidates"))
     l, r = left.select(F.col("id").alias("l"), *[F.col(n).alias(f"l_{n}") for n in names]), right.select(F.col("id").alias("r"), *[F.col(n).alias(f"r_{n}") for n in names])
     pairs = graph.join(l, "l").join(r, "r")
     scored = pairs.select("l", "r", similarity(pairs, attributes, chance).alias("base"))

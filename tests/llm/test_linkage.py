@@ -67,6 +67,19 @@ def test_large_groups_without_further_evidence_meet_rank_by_rank(spark):
     assert len({x["l"] for x in got}) == 150 and len({x["r"] for x in got}) == 200 and len(got) == 200
 
 
+def test_links_see_all_pairs_of_large_groups_without_further_evidence(spark, monkeypatch):
+    # two attributes are everybody's: 110 x 120 pairs, more than candidate_graph's default lets meet
+    side = lambda base, n: [(base + i, f"e{base + i}", None, "same", "same", f"own{base + i}", "") for i in range(n)]
+    a, b = spark.createDataFrame(side(0, 110), SCHEMA), spark.createDataFrame(side(1000, 120), SCHEMA)
+    for tasks in (1 << 20, 5_000):
+        got = [(x["l"], x["r"]) for x in L.candidate_graph(a, b, ["b", "c", "d"], rest_pairs=None, task_edges=tasks).collect()]
+        assert len(got) == len(set(got)) == 110 * 120
+    seen, graph = [], L.candidate_graph
+    monkeypatch.setattr(L, "candidate_graph", lambda *args, **more: seen.append(graph(*args, **more)) or seen[-1])
+    L.link(a, b, ATTRS, 8.0)
+    assert seen[0].count() == 110 * 120
+    
+
 def brute_gains(edges):
     return {(x[0], x[1]): max([y[5] for y in edges if y[5] > 0 and y[2:4] == x[2:4] and y[0] != x[0] and y[1] != x[1]], default=None) for x in edges}
 
