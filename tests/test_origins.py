@@ -76,3 +76,26 @@ def test_findings_of_other_origins_are_judged_a_family_at_a_time(spark, monkeypa
     assert max(unfolded) == 1 and sum(unfolded) > 1
     rows = lambda df: sorted(map(tuple, df.select(*found.columns).collect()), key=repr)
     assert rows(found) == rows(V.judge(pairs, R.MAPPING))
+
+
+def test_findings_that_rules_explain_dont_need_the_plan_of_all_families(spark, sf, monkeypatch):
+    """hyp_alt_source, with rules let through, gives what the findings of judge() give; none of its plans holds more than
+    one family of rules."""
+    unfolded, kept, plain, inner = [], {}, DataFrameWriter.parquet, R._alt_all
+
+    def parquet(self, *args, **kwargs):
+        unfolded.append(self._df._jdf.queryExecution().optimizedPlan().toString().count("explode(array(named_struct(target_field"))
+        return plain(self, *args, **kwargs)
+
+    def rules(alternatives, mapping):
+        return alternatives.where("explains >= 1")
+
+    monkeypatch.setattr(H, "candidate_rules", rules)
+    monkeypatch.setattr(R, "_alt_all", lambda *args: kept.setdefault("all", inner(*args)))
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    got = R.hyp_alt_source(spark, sf)
+    assert max(unfolded) == 1
+    _, pairs, columns, alternatives = kept["all"]
+    want = H.alternative_source(V.judge(pairs, R.MAPPING), pairs, R.MAPPING, columns, rules(alternatives, R.MAPPING)).select(*got.columns)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(got) == rows(want) and rows(got)
